@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
@@ -64,7 +65,7 @@ def correlation_p_values(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(usable, p, np.where(n == 2, 1.0, np.nan))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     known = r.notna() & n.notna()
     out = pd.Series(np.nan, index=r.index)
@@ -73,7 +74,7 @@ def _p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_of_f(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
     f, d1, d2 = (s.astype(float) for s in (f, between, within))
     known = f.notna() & (d1 > 0) & (d2 > 0)

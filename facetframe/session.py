@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, once."""
+    context = spark.sparkContext
+    if getattr(context, "_facetframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="facetframe-")) / "facetframe.zip"   # driver only; Spark serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._facetframe_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables written between two steps."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
