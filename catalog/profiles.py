@@ -97,8 +97,8 @@ _SPAN = """(d.days::BIGINT::VARCHAR || ' days' || CASE WHEN d.rest = 0 THEN '' E
 
 
 def _times(c: str, source: str, parsed: str) -> str:
-    iso = lambda e: (f"strftime({e}, CASE WHEN microsecond({e}) % 1000000 = 0 "
-                     f"THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END)")
+    iso = lambda e: (f"CASE WHEN microsecond({e}) % 1000000 = 0 THEN strftime({e}, '%Y-%m-%dT%H:%M:%S') "
+                     f"ELSE strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') END")
     return f"""SELECT '{c}' AS "column", missing_count, {iso('low')} AS min, {iso('high')} AS max, unique_count,
       {_SPAN} AS time_span FROM (
       SELECT *, epoch_us(high) - epoch_us(low) AS us FROM (

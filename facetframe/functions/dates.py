@@ -5,43 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date spellings understood in text columns.
-ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?\s*$"
-YEAR_FIRST_FORMATS = ("yyyy/M/d", "yyyy/M/d H:m:s")
-MONTH_FIRST_FORMATS = ("M/d/yyyy", "M/d/yyyy H:m:s", "M-d-yyyy", "M-d-yyyy H:m:s")
-DAY_FIRST_FORMATS = ("d/M/yyyy", "d/M/yyyy H:m:s", "d-M-yyyy", "d-M-yyyy H:m:s")
-NAMED_MONTH_FORMATS = ("d-MMM-yyyy", "d-MMM-yyyy H:m:s")
+# Date spellings understood in text columns, with "-" or "/" between parts.
+YEAR_FIRST_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
+MONTH_FIRST = "M-d-yyyy[ H:m[:s]]"
+DAY_FIRST = "d-M-yyyy[ H:m[:s]]"
+NAMED_MONTH = "d-MMM-yyyy[ H:m[:s]]"
 DATE_SHAPE = r"^\s*\d{1,4}[-/](\d{1,2}|[A-Za-z]{3})[-/]\d{1,4}([T ].*)?\s*$"
 
 
-def _try_formats(c: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+def _dashed(c: Column) -> Column:
+    """The text with dashes, null unless it looks like a date; only such text is parsed."""
+    return F.when((F.length(c) <= 40) & c.rlike(DATE_SHAPE), F.translate(F.trim(c), "/", "-"))
 
 
-def _guarded(c: Column, parsed: Column) -> Column:
-    """Only text that looks like a date reaches the parsers."""
-    return F.when((F.length(c) <= 40) & c.rlike(DATE_SHAPE), parsed)
+def _as(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern))
 
 
 def month_first(c: Column) -> Column:
-    text = F.trim(c)
-    return _guarded(c, _try_formats(text, MONTH_FIRST_FORMATS))
+    return _as(_dashed(c), MONTH_FIRST)
 
 
 def day_first(c: Column) -> Column:
-    text = F.trim(c)
-    return _guarded(c, _try_formats(text, DAY_FIRST_FORMATS))
+    return _as(_dashed(c), DAY_FIRST)
 
 
-def parse_text(c: Column, prefer_day_first: bool = False) -> Column:
+def parse_text(c: Column, prefer_day_first: Column | bool = False) -> Column:
     """Timestamp for a text value, null when it is not a date.
 
     ``10/11/2024`` is ambiguous: month first unless the caller knows the column
     to be written day first (see ``semantic.detect_schema``).
     """
-    text = F.trim(c)
-    slashed = (DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if prefer_day_first
-               else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS)
-    iso = F.when(c.rlike(ISO_SHAPE), F.try_to_timestamp(text))
-    parsed = F.coalesce(iso, _try_formats(text, YEAR_FIRST_FORMATS + slashed + NAMED_MONTH_FORMATS))
-    return _guarded(c, parsed)
+    text = _dashed(c)
+    prefer = F.lit(prefer_day_first) if isinstance(prefer_day_first, bool) else prefer_day_first
+    return (F.when(text.rlike(YEAR_FIRST_SHAPE), F.try_to_timestamp(text))
+            .otherwise(F.coalesce(F.when(prefer, _as(text, DAY_FIRST)), _as(text, MONTH_FIRST),
+                                  _as(text, DAY_FIRST), _as(text, NAMED_MONTH))))

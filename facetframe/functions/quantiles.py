@@ -1,9 +1,9 @@
 """Exact quantiles that do not need a whole group in one task.
 
 Works on *weighted values*: a DataFrame of (keys..., value, weight). Groups with
-few distinct values are ranked directly. In groups with many, a histogram of exact
-counts tells which bucket holds each wanted rank, and the search repeats inside
-that bucket until it is small; only the rows of the last bucket are sorted.
+few distinct values use the built-in aggregate, which keeps them in memory. In groups
+with many, a histogram of exact counts tells which bucket holds each wanted rank, and
+the search repeats inside that bucket until it is small; only its rows are sorted.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .columns import INFINITY, pin
 
-RANKED_VALUES = 5_000       # distinct values of one group that one task sorts
+RANKED_VALUES = 100_000     # distinct values of one group that one task may hold
 BUCKETS = 2048                # buckets per histogram round
 
 
@@ -67,6 +67,24 @@ def quantiles(weighted: DataFrame, keys: list[str], probs: list[float],
     ``totals`` is the pinned result of ``value_totals`` when the caller has it.
     """
     totals = pin(value_totals(weighted, keys)) if totals is None else totals
+    few, many = totals.where(F.col("inside") <= limit), totals.where(F.col("inside") > limit)
+    if many.isEmpty():
+        return _held(weighted, keys, probs)
+    named = F.broadcast(few.select(*[F.col(k).alias(f"_f_{k}") for k in keys]))
+    same = reduce(lambda x, y: x & y, [weighted[k].eqNullSafe(F.col(f"_f_{k}")) for k in keys])
+    small = weighted.join(named, same, "left_semi")
+    return _held(small, keys, probs).unionByName(_searched(weighted, many, keys, probs, limit))
+
+
+def _held(weighted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    cut = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("weight"))
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("cut").alias("quantile"))
+    return (weighted.groupBy(*keys).agg(cut.alias("cut"))
+            .select(*keys, F.inline(pairs).alias("p", "quantile")))
+
+
+def _searched(weighted: DataFrame, totals: DataFrame, keys: list[str], probs: list[float],
+              limit: int) -> DataFrame:
     place = (F.col("total") - 1) * F.col("p")
     brackets = (totals.select(*keys, "total", "inside", "low", "high")
                 .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

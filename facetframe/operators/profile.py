@@ -122,8 +122,7 @@ def span_text(low: Column, high: Column) -> Column:
 
 def _datetime(counts: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     written_day_first = F.col("ordinal").isin([k.ordinal for k in kinds if k.day_first])
-    parsed = F.when(written_day_first, dates.parse_text(F.col("s"), prefer_day_first=True)) \
-        .otherwise(dates.parse_text(F.col("s")))
+    parsed = dates.parse_text(F.col("s"), prefer_day_first=written_day_first)
     times = counts.select("ordinal", F.coalesce("t", parsed.cast("timestamp_ntz")).alias("ts"))
     # typed values are distinct already, different texts may name the same moment
     unique = F.count("ts") if all(k.physical_type != "string" for k in kinds) else F.count_distinct("ts")
