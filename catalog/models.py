@@ -16,7 +16,7 @@ WIDTH = 64
 NAMES = [f"feature_{i}" for i in range(WIDTH)]
 
 # Squared distances of all pairs; the scalar form keeps the double precision of the features.
-_POINTS = "p AS (SELECT vec_id AS id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings)"
+_POINTS = "p AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _DISTANCES = _POINTS + """,
 dist AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM p a, p b WHERE a.id <> b.id)"""
 
@@ -216,12 +216,11 @@ def _(spark, sf):
 
 
 @query("cluster_categories", """
-SELECT cluster, c AS "column", value AS dominant_category, n AS count, round(n / sum_n, 6) AS frequency FROM (
-  SELECT cluster, c, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster, c) AS sum_n,
-    row_number() OVER (PARTITION BY cluster, c ORDER BY count(*) DESC, value) AS place
-  FROM (SELECT l_linenumber AS cluster, unnest(['l_returnflag', 'l_linestatus']) AS c,
-               unnest([nullif(l_returnflag, 'A'), l_linestatus]) AS value FROM lineitem)
-  WHERE value IS NOT NULL GROUP BY ALL) WHERE place = 1""")
+SELECT cluster, c AS "column", value AS dominant_category, n AS count, round(n / total, 6) AS frequency FROM (
+  SELECT *, sum(n) OVER (PARTITION BY cluster, c) AS total, row_number() OVER (PARTITION BY cluster, c ORDER BY n DESC, value) AS place
+  FROM (SELECT l_linenumber AS cluster, 'l_returnflag' AS c, nullif(l_returnflag, 'A') AS value, count(*) AS n FROM lineitem GROUP BY 1, 2, 3
+        UNION ALL SELECT l_linenumber, 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 1, 2, 3)
+  WHERE value IS NOT NULL) WHERE place = 1""")
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select(
         F.col("l_linenumber").alias("cluster"), "l_quantity",

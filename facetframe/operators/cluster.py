@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -23,6 +25,7 @@ SILHOUETTE_CHUNK = 2_000
 PROFILED_FEATURES = 25
 PROFILED_CATEGORIES = 5
 TOP_FEATURES = 5
+PARALLEL_RUNS = 8
 
 
 class KMeansResult:
@@ -46,8 +49,13 @@ def kmeans(df: DataFrame, features: list[str], n_clusters: int = 3, random_state
     if k < 2:
         centre = [[r for r in df.agg(*[F.avg(col(f)) for f in features]).first()]]
         return KMeansResult(df.withColumn("cluster", F.lit(0)), k, 0.0 if rows < 2 else _inertia(df, features, centre[0]), centre)
-    # fewer, better seeded starts are enough for k-means||, each start has its own seed
-    models = [KMeans(k=k, seed=random_state + i, maxIter=max_iter, tol=1e-4).fit(vectors) for i in range(n_init)]
+
+    def start(i: int):
+        return KMeans(k=k, seed=random_state + i, maxIter=max_iter, tol=1e-4).fit(vectors)
+
+    # independent runs over the same cached vectors share the cluster
+    with ThreadPoolExecutor(min(n_init, PARALLEL_RUNS)) as pool:
+        models = list(pool.map(start, range(n_init)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes
     centres = [list(c) for c in best.clusterCenters()]
