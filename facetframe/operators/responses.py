@@ -81,7 +81,8 @@ def _list_of(name: str) -> Column:
 def _items(parsed: DataFrame, name: str) -> DataFrame:
     keep = [c for c in parsed.columns if c not in ("executive_summary", "error", "insights",
                                                    "recommendations", "warnings")]
-    rows = parsed.select(*[col(c) for c in keep], F.posexplode(name).alias("place", "item"))
+    # the outer form keeps Spark from repeating the parsing in a filter before the explode
+    rows = parsed.select(*[col(c) for c in keep], F.posexplode_outer(name).alias("place", "item"))
     return rows.where(F.schema_of_variant("item").startswith("OBJECT"))
 
 
@@ -122,8 +123,9 @@ def recommendations(parsed: DataFrame) -> DataFrame:
 def warnings(parsed: DataFrame) -> DataFrame:
     keep = [c for c in parsed.columns if c not in ("executive_summary", "error", "insights",
                                                    "recommendations", "warnings")]
-    return parsed.select(*[col(c) for c in keep], F.explode(
-        F.transform("warnings", lambda w: F.coalesce(w.cast("string"), F.lit("None")))).alias("warning"))
+    texts = F.transform("warnings", lambda w: F.coalesce(w.cast("string"), F.lit("None")))
+    return (parsed.select(*[col(c) for c in keep], F.explode_outer(texts).alias("warning"))
+            .where(F.col("warning").isNotNull()))
 
 
 def failed_responses(parsed: DataFrame) -> DataFrame:
