@@ -188,7 +188,7 @@ def cluster_profile(labels: DataFrame, features: list[str], max_features: int =
     stats = values.groupBy("cluster", "feature").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    weighted = values.groupBy("cluster", "feature", "value").agg(F.count("*").alias("weight"))
+    weighted = values.select("cluster", "feature", "value", F.lit(1).cast("long").alias("weight"))
     medians = (quantiles(weighted, ["cluster", "feature"], [0.5])
                .select("cluster", "feature", F.col("quantile").alias("median")))
     return (stats.join(medians, ["cluster", "feature"])

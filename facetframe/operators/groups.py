@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, is_numeric, normalize, pin
-from ..functions.quantiles import quantiles, value_totals
+from ..functions.columns import INFINITY, col, is_numeric, normalize, pin
+from ..functions.quantiles import quantiles
 
 MIN_ROWS = 5
 
@@ -63,7 +63,8 @@ def group_summary(df: DataFrame, categorical: list[str] | None = None, numerical
 
     (categorical_column, numerical_column, group_name, count, mean, median, std, min, max).
     ``categorical`` columns are expected to have few values, as the profile selects them.
-    All pairs share one pass and one map-side combined shuffle of value counts.
+    All pairs share their passes, and every pass combines map-side: what is shuffled is
+    one row per group, or one per group and histogram bucket while medians are searched.
     """
     if profile is not None and (categorical is None or numerical is None):
         words, numbers = group_columns(profile)
@@ -79,17 +80,20 @@ def group_summary(df: DataFrame, categorical: list[str] | None = None, numerical
             [], "categorical_column string, numerical_column string, group_name string, count long, "
                 "mean double, median double, std double, min double, max double")
     rows = _pair_rows(df, categorical, numerical)
+    finite = F.when(F.abs("value") != F.lit(INFINITY), F.col("value"))
     stats = rows.groupBy(*keys).agg(
         F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        F.min(finite).alias("low"), F.max(finite).alias("high"))
     size = W.partitionBy(*pair)
     largest = size.orderBy(F.desc("count"), F.asc("group_name"))
     top = pin(stats.withColumn("rows", F.sum("count").over(size))
               .withColumn("place", F.row_number().over(largest))
               .where((F.col("rows") >= MIN_ROWS) & (F.col("place") <= max_groups)))
     kept = rows.join(F.broadcast(top.select(*keys)), keys, "left_semi")   # columns x max_groups rows
-    weighted = kept.groupBy(*keys, "value").agg(F.count("*").alias("weight"))
-    medians = (quantiles(weighted, keys, [0.5], totals=pin(value_totals(weighted, keys)))
+    weighted = kept.select(*keys, "value", F.lit(1).cast("long").alias("weight"))
+    totals = top.select(*keys, F.col("count").alias("total"), F.col("count").alias("inside"), "low", "high")
+    medians = (quantiles(weighted, keys, [0.5], totals=totals)
                .withColumnRenamed("quantile", "median").drop("p"))
     several = F.count("*").over(W.partitionBy(*pair)) >= 2
     out = top.join(medians, keys).withColumn("several", several).where("several")
