@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .decontaminate import find_leaks
 from .mixing import mix_plan
+from .secret_scan import scan_secrets, secret_digest
 from .sharding import regular_tree, shard, with_region
 from .simhash import simhash_components
 
@@ -70,3 +72,26 @@ def op3(spark, d):
 def op5(spark, d):
     tree = regular_tree(24)
     return shard(table(spark, d, "documents"), tree, with_region(tree))
+
+
+_SHINGLES = r"""SELECT DISTINCT id, CASE WHEN i + 4 <= len(w) THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM
+          (SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+           FROM {table}) WHERE len(w) > 0)"""
+
+
+@query("op6_decontamination", f"""
+WITH item AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+doc AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+size AS (SELECT id, count(*) AS n FROM item GROUP BY id)
+SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS matched, any_value(n) AS n_shingles, count(*) / any_value(n) AS containment
+FROM item JOIN doc ON item.s = doc.s JOIN size ON size.id = item.id GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.8
+""")
+def op6(spark, d):
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(F.col("__id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "n_shingles", "containment")
+
+
+@query("op9_secrets")
+def op9(spark, d):
+    return secret_digest(scan_secrets(table(spark, d, "documents")))
