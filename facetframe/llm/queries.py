@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .decontaminate import find_leaks
+from .langid import identify_languages
 from .mixing import mix_plan
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import regular_tree, shard, with_region
 from .simhash import simhash_components
+from .tokens import tokens_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +97,18 @@ def op6(spark, d):
 @query("op9_secrets")
 def op9(spark, d):
     return secret_digest(scan_secrets(table(spark, d, "documents")))
+
+
+@query("op2_language_id")
+def op2(spark, d):
+    return identify_languages(table(spark, d, "documents"))
+
+
+def public_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_token_files")
+def op4(spark, d):
+    return tokens_of(table(spark, d, "documents"), public_tokenizer())
