@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .ann import nearest
 from .decontaminate import find_leaks
 from .langid import identify_languages
 from .mixing import mix_plan
@@ -112,3 +113,8 @@ def public_tokenizer() -> str:
 @query("op4_token_files")
 def op4(spark, d):
     return tokens_of(table(spark, d, "documents"), public_tokenizer())
+
+
+@query("op10_nearest_neighbours")
+def op10(spark, d):
+    return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -37,7 +37,7 @@ SCHEMA = "shard int, segment int, start long, doc_ids array<long>, lengths array
 
 # White space as Unicode lists it. A pre-token of the byte-level pattern never goes on from a letter or digit to
 # anything else, nor from any other character to white space, so a text may be cut there.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECE = re.compile(rf"[{_WS}]*(?:[^\W_]+|(?:[^\w{_WS}]|_)+[^\W_]*)|[{_WS}]+")
 
 
