@@ -12,6 +12,7 @@ from .ann import nearest
 from .decontaminate import find_leaks
 from .langid import identify_languages
 from .mixing import mix_plan
+from .repeats import remove_repeats, repeat_digest
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import regular_tree, shard, with_region
 from .simhash import simhash_components
@@ -118,3 +119,8 @@ def op4(spark, d):
 @query("op10_nearest_neighbours")
 def op10(spark, d):
     return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_repeated_passages")
+def op7(spark, d):
+    return repeat_digest(remove_repeats(table(spark, d, "documents")))
