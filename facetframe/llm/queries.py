@@ -11,6 +11,7 @@ from ..session import ship_package
 from .ann import nearest
 from .decontaminate import find_leaks
 from .langid import identify_languages
+from .licences import APART, COPYRIGHT, KNOWN, SPELLINGS, scan_licences
 from .mixing import mix_plan
 from .repeats import remove_repeats, repeat_digest
 from .secret_scan import scan_secrets, secret_digest
@@ -124,3 +125,35 @@ def op10(spark, d):
 @query("op7_repeated_passages")
 def op7(spark, d):
     return repeat_digest(remove_repeats(table(spark, d, "documents")))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    spelled = "wide"
+    for variant, usual in SPELLINGS:
+        spelled = f"replace({spelled}, ' {variant} ', ' {usual} ')"
+    known = ", ".join(f"({_text(licence)}, {_text(t)})" for licence, t in KNOWN)
+    return rf"""
+WITH texts AS (SELECT doc_id, NULL AS licence, text FROM documents
+               UNION ALL SELECT NULL, licence, text FROM (VALUES {known}) AS k (licence, text)),
+wide AS (SELECT doc_id, licence, '  ' || replace(regexp_replace(array_to_string(list_filter(
+             string_split(lower(coalesce(text, '')), chr(10)), lambda x: NOT regexp_matches(x, {_text(COPYRIGHT)})), chr(10)),
+             '{APART}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  ' AS wide FROM texts),
+lines AS (SELECT doc_id, licence, list_transform(string_split({spelled}, chr(10)),
+             lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))) AS lines FROM wide),
+parts AS (SELECT *, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS whole,
+             list_transform(regexp_split_to_array(array_to_string(lines, chr(10)), '\n\n+'),
+                            lambda b: trim(replace(b, chr(10), ' '))) AS blocks FROM lines),
+known AS (SELECT DISTINCT licence, whole FROM parts WHERE licence IS NOT NULL),
+units AS (SELECT doc_id, whole, unnest(list_concat([whole], blocks, lines)) AS unit FROM parts WHERE licence IS NULL)
+SELECT doc_id, known.licence, count(DISTINCT unit) AS n_units, max(unit = units.whole) AS entire
+FROM units JOIN known ON unit = known.whole WHERE unit <> '' GROUP BY ALL
+"""
+
+
+@query("op8_licences", _licence_sql())
+def op8(spark, d):
+    return scan_licences(table(spark, d, "documents"))
