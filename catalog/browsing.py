@@ -1,5 +1,6 @@
 """Record browser and schema detection."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetframe.operators import browse as B
@@ -33,10 +34,9 @@ FROM (SELECT *, CASE WHEN c_nationkey < 20 THEN c_acctbal END AS v FROM customer
 def _(spark, sf):
     gaps = table(spark, sf, "customer").select(
         "c_custkey", "c_name", F.when(F.col("c_nationkey") < 20, F.col("c_acctbal")).alias("v"))
-    ordered = B.sort_by(gaps, "v", ascending=False)
-    # the sorted rows numbered in their order, to compare order as values
-    places = ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1] + 1))
-    return spark.createDataFrame(places, "c_custkey long, c_name string, place long")
+    # sorted rows are numbered in the order they stand in: by partition, then in it
+    ordered = B.sort_by(gaps, "v", ascending=False).withColumn("at", F.monotonically_increasing_id())
+    return ordered.select("c_custkey", "c_name", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
 
 
 @query("page", """

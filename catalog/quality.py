@@ -69,17 +69,11 @@ UNION ALL SELECT 'INVALID_NUMERICAL_VALUES', 'ERROR', "column" FROM p WHERE kind
 """
 
 
-_PROFILES: dict = {}
-
-
 def _tables(spark, sf):
-    """Profiles of the faulty table; the rules below read the same ones, as they do in a report."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _PROFILES:
-        df = faulty(spark, sf)
-        profile = column_profile(df)
-        _PROFILES[key] = (profile, dataset_profile(df, profile))
-    return _PROFILES[key]
+    """Column and table profile of the faulty table, computed for each query."""
+    df = faulty(spark, sf)
+    profile = column_profile(df)
+    return profile, dataset_profile(df, profile)
 
 
 def _issues(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INFINITY = float("inf")
+SMALL_INPUT_BYTES = 256 << 20
 
 
 def col(name: str) -> Column:
@@ -83,12 +84,12 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than the cluster has slots.
+    """Deal the rows of a small input to every core; a larger one stays as its reader splits it.
 
-    One row group is one split. On inputs with enough splits nothing changes. Rows are
-    dealt by hash, which repeats the same way when a task is retried, without a sort.
+    One row group is one split, so a small file would keep one core busy. Spark sorts the rows before it deals
+    them in turns, so a retried task deals them alike, and equal rows are spread like any others. The size is
+    the optimizer's estimate: no job runs for it, and only the partitioning depends on it.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT_BYTES:
         return df
-    return df.repartition(slots, *[col(c) for c in df.columns])
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date spellings understood in text columns, with "-" or "/" between parts.
+# Date spellings understood in text columns, with "-", "/" or "." between parts, or named months.
 YEAR_FIRST_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
-MONTH_FIRST = "M-d-yyyy[ H:m[:s]]"
-DAY_FIRST = "d-M-yyyy[ H:m[:s]]"
-NAMED_MONTH = "d-MMM-yyyy[ H:m[:s]]"
-DATE_SHAPE = r"^\s*\d{1,4}[-/](\d{1,2}|[A-Za-z]{3})[-/]\d{1,4}([T ].*)?\s*$"
+CLOCK = "[ h:m[:s] a][ H:m[:s]]"
+MONTH_FIRST = "M-d-yyyy" + CLOCK
+DAY_FIRST = "d-M-yyyy" + CLOCK
+NAMED_MONTH = "d-MMM-yyyy" + CLOCK
+FULL_MONTH = "d-MMMM-yyyy" + CLOCK
+DATE_SHAPE = (r"^\s*(\d{1,4}[-/.](\d{1,2}|[A-Za-z]{3,9})[-/.]\d{1,4}([T ].*)?|\d{4}-\d{1,2}"
+              r"|([A-Za-z]{3,9}\.? \d{1,2}|\d{1,2} [A-Za-z]{3,9}),? \d{4}([T ].*)?)\s*$")
+#: How other spellings become one with dashes and years of four digits; two-digit years are 1969 to 2068.
+STEPS = ((r"^(?:([A-Za-z]{3,9})\.? (\d{1,2})|(\d{1,2}) ([A-Za-z]{3,9})),? (\d{4})", "$2$3-$1$4-$5"),
+         (r"^(\d{1,4})[-/.](\w{1,9})[-/.](\d{1,4})", "$1-$2-$3"),
+         (r"^(\d{1,2}-(?:\d{1,2}|[A-Za-z]{3,9})-)([0-5]\d|6[0-8])( |$)", "$120$2$3"),
+         (r"^(\d{1,2}-(?:\d{1,2}|[A-Za-z]{3,9})-)(69|[7-9]\d)( |$)", "$119$2$3"),
+         (r"^(\d{4}-\d{1,2})$", "$1-01"))
 
 
 def _dashed(c: Column) -> Column:
-    """The text with dashes, null unless it looks like a date; only such text is parsed."""
-    return F.when((F.length(c) <= 40) & c.rlike(DATE_SHAPE), F.translate(F.trim(c), "/", "-"))
+    """The text in one spelling, null unless it looks like a date; only such text is parsed."""
+    text = F.trim(c)
+    for shape, spelled in STEPS:
+        text = F.regexp_replace(text, shape, spelled)
+    return F.when(c.rlike(DATE_SHAPE), text)
 
 
 def _as(text: Column, pattern: str) -> Column:
@@ -40,4 +52,4 @@ def parse_text(c: Column, prefer_day_first: Column | bool = False) -> Column:
     prefer = F.lit(prefer_day_first) if isinstance(prefer_day_first, bool) else prefer_day_first
     return (F.when(text.rlike(YEAR_FIRST_SHAPE), F.try_to_timestamp(text))
             .otherwise(F.coalesce(F.when(prefer, _as(text, DAY_FIRST)), _as(text, MONTH_FIRST),
-                                  _as(text, DAY_FIRST), _as(text, NAMED_MONTH))))
+                                  _as(text, DAY_FIRST), _as(text, NAMED_MONTH), _as(text, FULL_MONTH))))

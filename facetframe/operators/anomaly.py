@@ -62,18 +62,15 @@ def _tree_samples(df: DataFrame, features: list[str], key: str, rows: int, trees
                   seed: int) -> DataFrame:
     """(tree, features...): up to TREE_ROWS rows per tree, chosen by a hash of the key.
 
-    A large table is thinned by the hash first, so one row serves at most one tree;
-    a small one offers every row to every tree.
+    Each tree thins the table by a hash of its own to a little more than it needs, and keeps the rows with the
+    smallest hashes; a table that is small enough is offered whole. A row may serve several trees.
     """
-    wanted = TREE_ROWS * trees
     base = df.select(col(key).alias("_key"), *[col(f) for f in features])
-    if rows > wanted:
-        share = min(1.0, 1.5 * wanted / rows)
-        drawn = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-        offered = base.where(drawn).withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(trees)).cast("int"))
-    else:
-        offered = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # ten deviations above TREE_ROWS, so that no tree is left short
+    share = min(1.0, (TREE_ROWS + 10 * TREE_ROWS ** 0.5) / max(rows, 1))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(
+        F.xxhash64(F.lit(seed), t, F.col("_key")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    offered = base.withColumn("tree", F.explode(drawn))
     order = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", "_key"), "_key")
     return (offered.withColumn("_place", F.row_number().over(order))
             .where(F.col("_place") <= TREE_ROWS).drop("_place", "_key"))

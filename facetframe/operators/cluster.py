@@ -20,7 +20,7 @@ from .features import assemble, tall
 from .neighbors import pairwise
 
 NOISE = -1
-EXACT_SILHOUETTE_ROWS = 10_000
+SILHOUETTE_METRIC = "squared_euclidean"
 SILHOUETTE_CHUNK = 2_000
 PROFILED_FEATURES = 25
 PROFILED_CATEGORIES = 5
@@ -72,7 +72,7 @@ def _inertia(df: DataFrame, features: list[str], centre: list[float]) -> float:
 
 
 def auto_k(df: DataFrame, features: list[str], min_k: int = 2, max_k: int = 8, random_state: int = 42,
-           n_init: int = 10, max_iter: int = 300, metric: str | None = None) -> DataFrame:
+           n_init: int = 10, max_iter: int = 300, metric: str = SILHOUETTE_METRIC) -> DataFrame:
     """(k, inertia, silhouette, metric, selected): the first k with the highest silhouette."""
     schema = "k int, inertia double, silhouette double, metric string, selected boolean"
     rows = df.count()
@@ -147,16 +147,14 @@ def silhouette_exact(df: DataFrame, features: list[str], key: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, features: list[str], key: str | None = None,
-               metric: str | None = None) -> DataFrame:
+               metric: str = SILHOUETTE_METRIC) -> DataFrame:
     """One row (silhouette, metric); null unless 2 <= clusters < rows. Noise rows are left out.
 
-    By default Euclidean up to EXACT_SILHOUETTE_ROWS rows and squared Euclidean, which is
-    linear in the rows, beyond; ``metric`` names which one was used.
+    By default of squared Euclidean distances at every size, which is linear in the rows;
+    ``metric="euclidean"`` asks for plain distances, whose work grows with the rows squared.
     """
     kept = df.where(F.col("cluster") != NOISE)
     n, k = kept.agg(F.count("*"), F.count_distinct("cluster")).first()
-    if metric is None:
-        metric = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared_euclidean"
     if not 2 <= k < n:
         return df.sparkSession.createDataFrame([(None, metric)], "silhouette double, metric string")
     if metric == "euclidean":

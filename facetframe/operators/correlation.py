@@ -37,7 +37,11 @@ def _by_aggregates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _by_matrices(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums of products as p x p matrices, one row of partial sums per batch of rows."""
+    """Sums of products as p x p matrices, one row of partial sums per task.
+
+    Missing and infinite values are masked before they are multiplied; pairs of present values with an
+    infinity are counted, and a pair of columns that has one is undefined, as it is by aggregates.
+    """
     means = df.agg(*[F.coalesce(F.avg(F.when(F.abs(col(c)) != math.inf, col(c))), F.lit(0.0)).alias(str(i))
                      for i, c in enumerate(columns)]).first()
     centre = np.array(list(means), dtype=float)
@@ -47,29 +51,32 @@ def _by_matrices(df: DataFrame, columns: list[str]) -> DataFrame:
         total = None
         for batch in batches:
             values = batch.to_numpy(dtype=float) - centre
-            seen = ~np.isnan(values)
-            values = np.where(seen, values, 0.0)
-            known = seen.astype(float)
+            finite = np.isfinite(values)
+            odd = (~finite & ~np.isnan(values)).astype(float)
+            values = np.where(finite, values, 0.0)
+            known = finite.astype(float)
             squares = values * values
             parts = np.stack([m[upper] for m in (
                 known.T @ known, values.T @ known, known.T @ values,
-                squares.T @ known, known.T @ squares, values.T @ values)])
+                squares.T @ known, known.T @ squares, values.T @ values,
+                odd.T @ (known + odd) + known.T @ odd)])
             total = parts if total is None else total + parts
         if total is not None:
             yield pd.DataFrame({"sums": [row for row in total.T], "pair": np.arange(total.shape[1])})
 
     sums = (df.mapInPandas(partial_sums, "sums array<double>, pair int").groupBy("pair")
             .agg(*[F.sum(F.col("sums")[i]).alias(n)
-                   for i, n in enumerate(("n", "x", "y", "xx", "yy", "xy"))]))
+                   for i, n in enumerate(("n", "x", "y", "xx", "yy", "xy", "odd"))]))
     names = df.sparkSession.createDataFrame(
         pd.DataFrame([(i, columns[a], columns[b]) for i, (a, b) in enumerate(zip(*upper))],
                      columns=["pair", "column_x", "column_y"]))
     n = F.nullif(F.col("n"), F.lit(0.0))
+    defined = F.col("odd") == 0
     return names.join(sums, "pair").select(
-        "column_x", "column_y", F.col("n").cast("long").alias("n"),
-        (F.col("xx") - F.col("x") * F.col("x") / n).alias("sxx"),
-        (F.col("yy") - F.col("y") * F.col("y") / n).alias("syy"),
-        (F.col("xy") - F.col("x") * F.col("y") / n).alias("sxy"))
+        "column_x", "column_y", (F.col("n") + F.col("odd")).cast("long").alias("n"),
+        F.when(defined, F.col("xx") - F.col("x") * F.col("x") / n).alias("sxx"),
+        F.when(defined, F.col("yy") - F.col("y") * F.col("y") / n).alias("syy"),
+        F.when(defined, F.col("xy") - F.col("x") * F.col("y") / n).alias("sxy"))
 
 
 def pearson_sums(df: DataFrame, columns: list[str], wide_agg_pairs: int = WIDE_AGG_PAIRS) -> DataFrame:
@@ -89,11 +96,13 @@ def correlation_importance(abs_r: Column, p: Column, significance: float = 0.05)
 
 
 def coefficients(sums: DataFrame) -> DataFrame:
-    """Adds ``r``; pairs without three rows or without variation have none."""
+    """Adds ``r``; pairs without three rows, without variation or with an infinity have none."""
     scale = F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy"))
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("sxy"), scale)))
-    usable = (F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0)
-    return sums.withColumn("r", F.when(usable, r)).where(F.col("r").isNotNull() & ~F.isnan("r"))
+    # NaN is above infinity here, so these tests leave it out; least() and greatest() would turn it into 1
+    finite = (F.col("sxx") < math.inf) & (F.col("syy") < math.inf) & (F.abs("sxy") < math.inf)
+    usable = (F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0) & finite
+    return sums.where(usable).withColumn("r", r)
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, profile: DataFrame | None = None,

@@ -6,6 +6,7 @@ shuffle of the table; applying is a projection without any shuffle or Python.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -91,6 +92,11 @@ def feature_roles(df: DataFrame, profile: DataFrame | None = None, max_categorie
                                            "column string, role string, reason string")
 
 
+def feature_key(column: str, part: str = "") -> str:
+    """What a feature is told apart by; names such as ``a_b`` may come from several columns."""
+    return json.dumps([column, part])
+
+
 @dataclass(frozen=True)
 class FeatureModel:
     """Fitted preparation. Its size is bounded by columns x ``max_categories``."""
@@ -107,43 +113,55 @@ class FeatureModel:
     def of(self, role: str) -> list[Role]:
         return [r for r in self.roles if r.role == role]
 
-    def _unscaled(self, present: set[str], schema: T.StructType) -> dict[str, Column]:
-        """Feature name -> expression, in order: numeric, boolean, date parts, one-hot.
+    def _unscaled(self, present: set[str], schema: T.StructType) -> dict[tuple[str, str], Column]:
+        """(column, part) -> expression, in order: numeric, boolean, date parts, one-hot.
 
         A column the given table lacks is filled as if all its values were missing.
         """
         def source(name: str) -> Column:
             return col(name) if name in present else F.lit(None).cast("string")
 
-        out: dict[str, Column] = {}
+        out: dict[tuple[str, str], Column] = {}
         for r in self.of("numeric"):
             value = source(r.column).try_cast("double")
-            out[r.column] = F.coalesce(value, F.lit(self.numeric_fill[r.column]))
+            out[r.column, ""] = F.coalesce(value, F.lit(self.numeric_fill[r.column]))
         for r in self.of("boolean"):
             flag = F.lower(source(r.column).cast("string")).isin(*TRUE_TEXTS)
-            out[r.column] = F.coalesce(flag, F.lit(False)).cast("double")
+            out[r.column, ""] = F.coalesce(flag, F.lit(False)).cast("double")
         for r in self.of("datetime"):
             c = source(r.column)
             typed = r.column in present and is_time(schema[r.column].dataType)
             for part, value in _date_parts(c if typed else dates.parse_text(c, r.day_first)).items():
-                out[f"{r.column}_{part}"] = value
+                out[r.column, part] = value
         for r in self.of("categorical"):
             value = F.coalesce(source(r.column).cast("string"), F.lit(self.category_fill[r.column]))
             for category in self.categories[r.column]:
-                out[f"{r.column}_{category}"] = F.when(value == category, 1.0).otherwise(0.0)
+                out[r.column, category] = F.when(value == category, 1.0).otherwise(0.0)
         return out
 
     @property
     def feature_names(self) -> list[str]:
-        return list(self._unscaled(set(), T.StructType()))
+        """One name per feature: the column, or column and part; later ones of the same name get a number."""
+        names: list[str] = []
+        taken: set[str] = set()
+        for column, part in self._unscaled(set(), T.StructType()):
+            plain = name = f"{column}_{part}" if part or column in self.categories else column
+            n = 1
+            while name in taken:
+                n += 1
+                name = f"{plain}_{n}"
+            taken.add(name)
+            names.append(name)
+        return names
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """The ``keep`` columns and one double column per feature."""
         kept = [] if keep is None else keep
         normal = normalize(df)
         scaled = []
-        for name, value in self._unscaled(set(df.columns), normal.schema).items():
-            centre, scale = self.centre_scale.get(name, (0.0, 1.0))
+        features = self._unscaled(set(df.columns), normal.schema)
+        for name, (feature, value) in zip(self.feature_names, features.items()):
+            centre, scale = self.centre_scale.get(feature_key(*feature), (0.0, 1.0))
             scaled.append(((value - F.lit(centre)) / F.lit(scale)).alias(name))
         return normal.select(*[col(k) for k in kept], *scaled)
 
@@ -183,12 +201,11 @@ def _fills(counts: DataFrame, model: FeatureModel, ordinals: dict[str, int]) ->
 
 def _categories(df: DataFrame, counts: DataFrame, model: FeatureModel, ordinals: dict[str, int],
                 max_categories: int) -> dict[str, list]:
-    """Category rows (most frequent first) of each categorical column; at most
-    ``max_categories`` each, or as many as a table of nine rows can have."""
+    """Category rows (most frequent first) of each categorical column, at most ``max_categories`` each."""
     names = {ordinals[r.column]: r.column for r in model.of("categorical")}
     if not names:
         return {}
-    top = _top_values(df, counts.where(F.col("ordinal").isin(list(names))), max(max_categories, 10))
+    top = _top_values(df, counts.where(F.col("ordinal").isin(list(names))), max_categories)
     found: dict[str, list] = {n: [] for n in names.values()}
     for r in sorted(top.collect(), key=lambda r: r.rank):
         found[names[r.ordinal]].append(r)
@@ -211,26 +228,26 @@ def _feature_values(counts: DataFrame, model: FeatureModel, ordinals: dict[str,
         return counts.where(F.col("ordinal") == ordinals[column])
 
     for r in model.of("numeric"):
-        parts.append(rows_of(r.column).select(F.lit(r.column).alias("feature"),
+        parts.append(rows_of(r.column).select(F.lit(feature_key(r.column)).alias("feature"),
                                               number().alias("value"), "weight"))
-        fixed.append((r.column, model.numeric_fill[r.column], missing(r.column)))
+        fixed.append((feature_key(r.column), model.numeric_fill[r.column], missing(r.column)))
     for r in model.of("boolean"):
         flag = F.coalesce(F.lower(text()).isin(*TRUE_TEXTS), F.lit(False)).cast("double")
-        parts.append(rows_of(r.column).select(F.lit(r.column).alias("feature"),
+        parts.append(rows_of(r.column).select(F.lit(feature_key(r.column)).alias("feature"),
                                               flag.alias("value"), "weight"))
-        fixed.append((r.column, 0.0, missing(r.column)))
+        fixed.append((feature_key(r.column), 0.0, missing(r.column)))
     for r in model.of("datetime"):
         ts = F.coalesce("t", dates.parse_text(F.col("s"), r.day_first).cast("timestamp_ntz"))
         pieces = F.inline(F.array(*[
-            F.struct(F.lit(f"{r.column}_{part}").alias("feature"), value.alias("value"),
+            F.struct(F.lit(feature_key(r.column, part)).alias("feature"), value.alias("value"),
                      F.col("weight").alias("weight")) for part, value in _date_parts(ts).items()]))
         parts.append(rows_of(r.column).select(pieces))
-        fixed += [(f"{r.column}_{part}", default, missing(r.column)) for part, default in DATE_PARTS]
+        fixed += [(feature_key(r.column, part), default, missing(r.column)) for part, default in DATE_PARTS]
     for column, rows in category_rows.items():
         for row in rows:
             ones = row.frequency + (missing(column) if row.value == model.category_fill[column] else 0)
-            fixed += [(f"{column}_{row.value}", 1.0, ones),
-                      (f"{column}_{row.value}", 0.0, model.rows - ones)]
+            fixed += [(feature_key(column, row.value), 1.0, ones),
+                      (feature_key(column, row.value), 0.0, model.rows - ones)]
     out = spark.createDataFrame([x for x in fixed if x[2] > 0], schema)
     for part in parts:
         out = out.unionByName(part)

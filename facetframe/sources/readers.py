@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import col
+
 # File extensions and the format each one means.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
@@ -43,17 +45,22 @@ def detect_format(path: str) -> str:
     return FORMATS[suffix]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header row, inferred types unless given; ragged rows are errors."""
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """Header row, inferred types unless given; ragged rows are errors.
+
+    A file is split among tasks, so values must not hold line breaks unless ``multi_line`` says so.
+    """
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """An array of records (or one record per line); nulls stay."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+              multi_line: bool = False) -> DataFrame:
+    """One record per line, or with ``multi_line`` an array of records, read by one task a file; nulls stay."""
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     return (reader if schema is None else reader.schema(schema)).json(path)
 
 
@@ -68,10 +75,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None,
-         schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a table and check that there is one: present, non-empty, parseable.
+         schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read a table and check that there is one: present, non-empty, parseable in every row.
 
-    Types given by ``schema`` save the inference pass over large text files.
+    The check of a text file reads it once; types given by ``schema`` save the pass that infers them.
+    ``multi_line``: CSV values with line breaks, JSON as an array of records.
     """
     fmt = fmt or detect_format(path)
     try:
@@ -82,14 +90,16 @@ def load(spark: SparkSession, path: str, fmt: str | None = None,
         raise EmptyDatasetError(f"{path} has no bytes")
     try:
         if fmt == "csv":
-            df = read_csv(spark, path, schema)
+            df = read_csv(spark, path, schema, multi_line)
         elif fmt == "json":
-            df = read_json(spark, path, schema)
+            df = read_json(spark, path, schema, multi_line)
         elif fmt == "parquet":
             df = read_parquet(spark, path)
         else:
             raise UnsupportedFileFormatError(f"unsupported format '{fmt}'")
         columns, empty = df.columns, df.isEmpty()
+        if fmt != "parquet" and not empty:
+            df.agg(*[F.count(col(c)) for c in columns]).first()        # every value is parsed; a broken row fails here
     except PySparkException as err:
         raise CorruptDatasetError(f"{path} does not parse as {fmt}: {err}") from err
     except Exception as err:

@@ -22,15 +22,11 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def people(spark):
+def plots(spark):
     """Eight rows with every semantic type, two gaps and one repeated row."""
-    rows = [("K-1", "Ada", 34, 75000.0, "Rome", "2023-01-15", True),
-            ("K-2", "Ben", 45, 62000.5, "Oslo", "2022-11-20", False),
-            ("K-3", "Cleo", None, 89000.0, "Bern", "2023-05-10", True),
-            ("K-4", "Dan", 29, 115000.0, "Kyiv", "2024-02-01", True),
-            ("K-5", "Eve", 52, None, "Riga", "2021-08-19", False),
-            ("K-6", "Fay", 24, 48000.0, "Bonn", "2023-12-04", True),
-            ("K-2", "Ben", 45, 62000.5, "Oslo", "2022-11-20", False),
-            ("K-7", "Gus", 61, 93000.0, "Lima", "2020-03-25", False)]
-    return spark.createDataFrame(rows, "customer_id string, name string, age int, annual_income double, "
-                                       "city string, signup_date string, is_active boolean")
+    rows = [("P/100", "mill", 17, 410.25, "Aarhus", "2019-07-02", False), ("P/101", "dock", 9, 88.0, "Turku", "2018-12-30", True),
+            ("P/102", "yard", 31, None, "Gdynia", "2020-02-29", True), ("P/103", "kiln", 12, 955.5, "Narvik", "2017-05-05", False),
+            ("P/104", "quay", None, 120.75, "Tartu", "2021-09-14", True), ("P/105", "barn", 44, 300.0, "Umea", "2016-01-31", False),
+            ("P/101", "dock", 9, 88.0, "Turku", "2018-12-30", True), ("P/106", "pier", 26, 640.0, "Visby", "2022-03-08", True)]
+    return spark.createDataFrame(rows, "plot_id string, kind string, age int, annual_rent double, "
+                                       "place string, opened string, is_leased boolean")

@@ -3,28 +3,28 @@ import pytest
 from facetframe.operators import features as FE
 
 
-@pytest.mark.parametrize("strategy, fill", [("median", 30.0), ("mean", 42.5), ("zero", 0.0)])
+@pytest.mark.parametrize("strategy, fill", [("median", 5.5), ("mean", 16.75), ("zero", 0.0)])
 def test_imputation(spark, strategy, fill):
-    df = spark.createDataFrame([(10.0,), (20.0,), (float("nan"),), (40.0,), (100.0,)], "val double")
+    df = spark.createDataFrame([(-1.0,), (float("nan"),), (4.0,), (7.0,), (57.0,)], "val double")
     model = FE.fit_features(df, numeric_imputation=strategy, scaling=None)
-    assert sorted(r.val for r in model.transform(df).collect()) == sorted([10.0, 20.0, fill, 40.0, 100.0])
+    assert sorted(r.val for r in model.transform(df).collect()) == sorted([-1.0, fill, 4.0, 7.0, 57.0])
 
 
 def test_one_hot_with_unseen_category(spark):
-    train = spark.createDataFrame([("red", 1.0), ("blue", 2.0), ("red", 3.0), ("green", 4.0)], "category string, amount double")
+    train = spark.createDataFrame([("oak", 1.5), ("elm", 2.5), ("oak", 3.5), ("ash", 4.5), ("ash", 0.5)], "tree string, amount double")
     model = FE.fit_features(train, scaling=None)
-    assert model.feature_names == ["amount", "category_blue", "category_green", "category_red"]
-    new = spark.createDataFrame([("blue", 5.0), ("yellow", 6.0)], "category string, amount double")
+    assert model.feature_names == ["amount", "tree_ash", "tree_elm", "tree_oak"]
+    new = spark.createDataFrame([("elm", 5.0), ("fir", 6.0)], "tree string, amount double")
     got = {r.amount: tuple(r)[1:] for r in model.transform(new).collect()}
-    assert got == {5.0: (1.0, 0.0, 0.0), 6.0: (0.0, 0.0, 0.0)}
+    assert got == {5.0: (0.0, 1.0, 0.0), 6.0: (0.0, 0.0, 0.0)}
 
 
 def test_date_parts(spark):
-    df = spark.createDataFrame([("2024-01-01", 1), ("2024-02-15", 2), ("2023-12-31", 3), ("2024-01-01", 4)], "date string, value int")
+    df = spark.createDataFrame([("2018-11-07", 1), ("2019-03-24", 2), ("2018-06-30", 3), ("2018-11-07", 4)], "date string, value int")
     model = FE.fit_features(df, scaling=None)
     assert len(model.feature_names) == 5
     first = model.transform(df).where("value = 1").first()
-    assert (first.date_year, first.date_month, first.date_day, first.date_dayofweek) == (2024.0, 1.0, 1.0, 0.0)
+    assert (first.date_year, first.date_month, first.date_day, first.date_dayofweek) == (2018.0, 11.0, 7.0, 2.0)
     gap = spark.createDataFrame([("no date", 1)], "date string, value int")
     row = model.transform(gap).first()
     assert (row.date_year, row.date_month, row.date_day, row.date_dayofweek) == (2000.0, 1.0, 1.0, 0.0)
@@ -43,12 +43,30 @@ def test_roles(spark):
 
 
 def test_scaling_is_fitted_on_training_rows_only(spark):
-    model = FE.fit_features(spark.createDataFrame([(0.0,), (10.0,), (20.0,)], "x double"))
-    got = model.transform(spark.createDataFrame([(30.0,)], "x double")).first().x
-    assert got == pytest.approx((30 - 10) / 8.16496580927726)
+    model = FE.fit_features(spark.createDataFrame([(2.0,), (5.0,), (5.0,), (8.0,)], "x double"))
+    got = model.transform(spark.createDataFrame([(11.0,)], "x double")).first().x
+    assert got == pytest.approx((11 - 5) / 4.5 ** 0.5)
 
 
 def test_missing_column_takes_the_fills(spark):
     model = FE.fit_features(spark.createDataFrame([(1.0, "a"), (3.0, "b"), (5.0, "b")], "x double, k string"), scaling=None)
     row = model.transform(spark.createDataFrame([(1,)], "other int")).first()
     assert (row.x, row.k_a, row.k_b) == (3.0, 0.0, 1.0)
+
+
+def test_equal_names_are_different_features(spark):
+    """Numbers ``order_year`` beside a date ``order``, and categories that spell the same name."""
+    df = spark.createDataFrame([(1999.0 + i, f"2020-0{i % 9 + 1}-03", "b_c" if i % 2 else "x", "c" if i % 3 else "y") for i in range(12)],
+                               "order_year double, order string, a string, a_b string")
+    model = FE.fit_features(df)
+    names = model.feature_names
+    assert len(names) == len(set(names)) == 1 + 4 + 2 + 2
+    out = model.transform(df)
+    assert out.columns == names and {"order_year", "order_year_2", "a_b_c", "a_b_c_2"} <= set(names)
+    plain = FE.fit_features(df, scaling=None).transform(df).first()
+    assert plain["order_year"] >= 1999.0 and plain["order_year_2"] == 2020.0
+
+
+def test_few_categories_are_obeyed(spark):
+    df = spark.createDataFrame([(c,) for c in "aaabbcde"], "v string")
+    assert FE.fit_features(df, max_categories=2).categories == {"v": ["a", "b"]}

@@ -57,34 +57,34 @@ def test_both_paths_agree_with_numpy(spark):
 
 
 def test_skew_classes(spark):
-    df = spark.createDataFrame([(v, -v) for v in (1.0, 1.0, 1.0, 2.0, 2.0, 3.0, 50.0, 100.0)], "right double, left double")
+    df = spark.createDataFrame([(v, -v) for v in (4.0, 4.5, 5.0, 5.0, 6.0, 6.5, 7.0, 31.0, 90.0)], "right double, left double")
     got = {r["column"]: r for r in rows(distribution_shape(column_profile(df)))}
     assert got["right"]["skewness"] > 1 and "right-skewed" in got["right"]["skewness_classification"]
     assert got["left"]["skewness"] < -1 and "left-skewed" in got["left"]["skewness_classification"]
 
 
 def test_category_shares(spark):
-    df = spark.createDataFrame([("Alpha" if i < 16 else "Beta" if i < 18 else "Gamma", "ABCD"[i % 4]) for i in range(20)],
-                               "segment string, region string")
+    df = spark.createDataFrame([("wool" if i < 28 else "silk" if i < 30 else "jute", "NESW"[i % 4]) for i in range(32)],
+                               "fibre string, wind string")
     profile = column_profile(df)
     got = rows(G.category_concentration(profile))
-    assert [(r["column"], r["dominant_share_pct"], r["importance"]) for r in got] == [("segment", 80.0, "HIGH")]
-    assert [r["column"] for r in rows(G.category_balance(profile))] == ["region"]
+    assert [(r["column"], r["dominant_share_pct"], r["importance"]) for r in got] == [("fibre", 87.5, "HIGH")]
+    assert [r["column"] for r in rows(G.category_balance(profile))] == ["wind"]
 
 
 def test_group_variation(spark):
-    df = spark.createDataFrame([("a", 100.0), ("a", 110.0), ("a", 120.0), ("b", 200.0), ("b", 210.0), ("b", None), ("b", 220.0)],
-                               "dept string, salary double")
-    summary = G.group_summary(df, ["dept"], ["salary"], digits=None)
-    assert {r["group_name"]: (r["count"], r["median"]) for r in rows(summary)} == {"a": (3, 110.0), "b": (3, 210.0)}
+    df = spark.createDataFrame([("a", 31.0), ("a", 40.0), ("a", 46.0), ("b", 70.0), ("b", 76.0), ("b", None), ("b", 79.0)],
+                               "plot string, yield double")
+    summary = G.group_summary(df, ["plot"], ["yield"], digits=None)
+    assert {r["group_name"]: (r["count"], r["median"]) for r in rows(summary)} == {"a": (3, 40.0), "b": (3, 76.0)}
     got = rows(G.group_variation(summary))[0]
-    assert (got["variation_ratio"], got["top_group"], got["importance"]) == (1.91, "b", "MEDIUM")
-    assert G.group_summary(df.limit(3), ["dept"], ["salary"]).count() == 0
+    assert (got["variation_ratio"], got["top_group"], got["importance"]) == (1.92, "b", "MEDIUM")
+    assert G.group_summary(df.limit(3), ["plot"], ["yield"]).count() == 0
 
 
 def test_trend_directions(spark):
     months = [f"2023-{m:02d}-01" for m in range(1, 7)]
-    values = [10.0, 12.0, 9.0, 11.0, 10.0, 10.5]
+    values = [7.5, 8.5, 6.75, 8.0, 7.25, 7.75]
     df = spark.createDataFrame([(d, 1000.0 * (i + 1), v) for i, (d, v) in enumerate(zip(months, values))],
                                "record_date string, revenue double, metric double")
     got = {r["numerical_column"]: r for r in rows(T.trends(df, column_profile(df), r2_threshold=0.5))}
@@ -94,9 +94,27 @@ def test_trend_directions(spark):
     assert got["metric"]["direction"] == "stable" and got["metric"]["importance"] is None
 
 
-def test_findings_are_ranked_and_unique(spark, people):
-    out = A.analyze_statistics(people)
+def test_findings_are_ranked_and_unique(spark, plots):
+    out = A.analyze_statistics(plots)
     got = rows(out["findings"])
     assert [(r["importance_rank"], r["finding_id"]) for r in got] == sorted((r["importance_rank"], r["finding_id"]) for r in got)
     assert len({r["finding_id"] for r in got}) == len(got)
     assert sum(r["findings"] for r in rows(A.finding_counts(out["findings"]))) == len(got)
+
+
+def test_correlation_with_infinities_and_gaps(spark):
+    """Both paths, on one and on several partitions: a pair with an infinity has no coefficient."""
+    import math
+    from facetframe.operators.correlation import correlation_pairs, pearson_sums
+    data = [(float(i), float(i * i % 7), math.inf if i == 3 else 2.0 * i, None if i in (3, 9) else float(-i), 1e9 + i) for i in range(24)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
+    tables = []
+    for limit in (100, 0):
+        for parts in (1, 4):
+            got = correlation_pairs(df.repartition(parts), min_correlation=0.0, wide_agg_pairs=limit)
+            tables.append(sorted((r.column_x, r.column_y, r.coefficient, r.sample_size) for r in got.collect()))
+    assert all(t == tables[0] for t in tables)
+    pairs = {t[:2]: t[2:] for t in tables[0]}
+    assert ("a", "c") not in pairs and ("b", "c") not in pairs and pairs["c", "d"] == (-1.0, 22)
+    assert pairs["a", "e"] == (1.0, 24) and pairs["a", "d"] == (-1.0, 22)
+    assert pearson_sums(df, list("abcde"), 0).count() == 10

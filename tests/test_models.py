@@ -131,10 +131,11 @@ def test_kmeans_and_silhouette(spark, blobs):
     fitted = C.kmeans(df, ["a", "b"], 3, n_init=3)
     got = fitted.labels.toPandas().sort_values("id")
     assert [len(set(got["cluster"][i:i + 30])) for i in (0, 30, 60)] == [1, 1, 1]
-    score = C.silhouette(fitted.labels, ["a", "b"], "id").first()
+    assert C.silhouette(fitted.labels, ["a", "b"]).first().metric == "squared_euclidean"
+    score = C.silhouette(fitted.labels, ["a", "b"], "id", "euclidean").first()
     assert score.silhouette > 0.6 and score.metric == "euclidean"
     assert score.silhouette == pytest.approx(exact_silhouette(blobs, got["cluster"].to_numpy()))
-    assert C.silhouette(fitted.labels, ["a", "b"]).first().silhouette == pytest.approx(score.silhouette)
+    assert C.silhouette(fitted.labels, ["a", "b"], metric="euclidean").first().silhouette == pytest.approx(score.silhouette)
     assert C.silhouette(fitted.labels.withColumn("cluster", fitted.labels.cluster * 0), ["a", "b"], "id").first().silhouette is None
 
 
@@ -170,10 +171,10 @@ def test_undefined_metrics_carry_a_reason(spark):
 
 @pytest.mark.parametrize("config", [
     ModelConfig(n_estimators=20, n_init=2), ModelConfig(anomaly="local_outlier_factor", clustering="dbscan", eps=3.0)])
-def test_whole_cascade(spark, people, config):
-    keyed = people.dropDuplicates().rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    df = spark.createDataFrame(keyed, "customer_id string, name string, age int, annual_income double, city string, "
-                                      "signup_date string, is_active boolean, row_key long")
+def test_whole_cascade(spark, plots, config):
+    keyed = plots.dropDuplicates().rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
+    df = spark.createDataFrame(keyed, "plot_id string, kind string, age int, annual_rent double, place string, "
+                                      "opened string, is_leased boolean, row_key long")
     out = analyze(df, key="row_key", config=config)
     assert out["points"].count() == 7
     assert out["overview"].count() == 1

@@ -57,17 +57,17 @@ def test_bad_table_scores_low(spark):
     assert scores == {"empty": 0.0, "repeated": 75.0}
 
 
-def test_people_score(spark, people):
-    out = report(people)
+def test_plots_score(spark, plots):
+    out = report(plots)
     row = out["report"].first()
     assert row.overall_score >= 90 and row.grade == "Excellent"
     rules = {r.rule_id for r in out["issues"].collect()}
     assert {"MODERATE_MISSINGNESS", "DUPLICATE_ROWS", "IDENTIFIER_FEATURE"} <= rules
-    assert {r.column: r.score for r in out["column_scores"].collect()}["customer_id"] == 100.0
+    assert {r.column: r.score for r in out["column_scores"].collect()}["plot_id"] == 100.0
 
 
-def test_own_rules_replace_the_defaults(spark, people):
-    profile = column_profile(people)
-    table = dataset_profile(people, profile)
+def test_own_rules_replace_the_defaults(spark, plots):
+    profile = column_profile(plots)
+    table = dataset_profile(plots, profile)
     strict = R.with_thresholds(R.missingness_issues, moderate_pct=50.0)
     assert R.quality_issues(profile, table, [strict]).count() == 0

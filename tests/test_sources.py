@@ -12,13 +12,13 @@ def write(path, text):
     return str(path)
 
 
-def test_formats(spark, tmp_path, people):
+def test_formats(spark, tmp_path, plots):
     csv = write(tmp_path / "a.CSV", "id,when,amount\n1,2024-01-01,1.5\n2,2024-01-02,\n")
     df = S.load(spark, csv)
     assert df.count() == 2 and dict(df.dtypes)["amount"] == "double"
     records = write(tmp_path / "b.json", json.dumps([{"a": 1, "b": None}, {"a": 2, "b": "x"}]))
     assert S.load(spark, records).count() == 2
-    people.write.parquet(str(tmp_path / "c.parquet"))
+    plots.write.parquet(str(tmp_path / "c.parquet"))
     assert S.load(spark, str(tmp_path / "c.parquet")).count() == 8
     meta = S.dataset_metadata(df).first()
     assert meta.row_count == 2 and meta.file_size_bytes > 0 and meta.columns == "id,when,amount"
@@ -37,12 +37,28 @@ def test_failures(spark, tmp_path):
         S.load(spark, write(tmp_path / "bad.parquet", "not parquet at all"))
     with pytest.raises(S.CorruptDatasetError):
         S.load(spark, write(tmp_path / "bad.json", "{broken"))
+    late = "a,b\n" + "1,2\n" * 5000 + "1,2,3\n"
+    with pytest.raises(S.CorruptDatasetError):                  # however far down the broken row is
+        S.load(spark, write(tmp_path / "late.csv", late), schema="a int, b int")
     assert issubclass(S.DatasetNotFoundError, FileNotFoundError)
 
 
-def test_csv_round_trip(spark, tmp_path, people):
-    W.export_csv(people, str(tmp_path / "out"))
-    assert S.load(spark, str(tmp_path / "out"), "csv", people.schema).exceptAll(people).isEmpty()
+def test_text_files_are_split(spark, tmp_path):
+    path = write(tmp_path / "long.csv", "a,b\n" + "12345678,abcdefgh\n" * 60_000)
+    lines = write(tmp_path / "long.json", '{"a": 12345678}\n' * 60_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        assert S.read_csv(spark, path, "a int, b string").rdd.getNumPartitions() > 4
+        assert S.read_json(spark, lines, "a int").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    array = write(tmp_path / "array.json", '[\n{"a": 1,\n"b": "x"},\n{"a": 2}\n]')
+    assert S.load(spark, array, multi_line=True).count() == 2
+
+
+def test_csv_round_trip(spark, tmp_path, plots):
+    W.export_csv(plots, str(tmp_path / "out"))
+    assert S.load(spark, str(tmp_path / "out"), "csv", plots.schema).exceptAll(plots).isEmpty()
 
 
 def test_json_has_no_infinities(spark):
@@ -50,16 +66,16 @@ def test_json_has_no_infinities(spark):
     assert json.loads(W.report_json(df).first().json) == {"x": None, "m": {"a": None}, "l": [1.0, None]}
 
 
-def test_browse(spark, people):
-    rows, totals = B.browse(people, 1, 3, "age", False)
-    assert [r.age for r in rows.collect()] == [61, 52, 45]
+def test_browse(spark, plots):
+    rows, totals = B.browse(plots, 1, 3, "age", False)
+    assert [r.age for r in rows.collect()] == [44, 31, 26]
     assert tuple(totals.first()) == (8, 3)
-    assert [r.age for r in B.sort_by(people, "age").collect()][-1] is None
-    assert B.sort_by(people, "unknown") is people
-    assert B.search(people, " OSLO ").count() == 2
-    assert B.search(people, ".*").count() == 0
-    assert B.page_totals(people.limit(0)).first().total_pages == 1
+    assert [r.age for r in B.sort_by(plots, "age").collect()][-1] is None
+    assert B.sort_by(plots, "unknown") is plots
+    assert B.search(plots, " TURKU ").count() == 2
+    assert B.search(plots, ".*").count() == 0
+    assert B.page_totals(plots.limit(0)).first().total_pages == 1
     with pytest.raises(ValueError):
-        B.page(people, 0)
+        B.page(plots, 0)
     with pytest.raises(ValueError):
-        B.select_columns(people, [])
+        B.select_columns(plots, [])
