@@ -33,7 +33,8 @@ def _slots(field: T.StructField) -> dict[str, Column]:
     if is_time(dtype):
         return {"t": c.cast("timestamp_ntz")}
     text = c.cast("string")
-    long = F.octet_length(text) > LONG_TEXT_BYTES
+    # blanks around a value do not make it long: what is long could be no flag, date or UUID
+    long = F.octet_length(F.btrim(text, F.lit(" \t\r\n"))) > LONG_TEXT_BYTES
     # long_text also keeps the one thing type detection asks of a long text
     return {"s": F.when(long, F.sha2(text, 256)).otherwise(text),
             "long_text": F.when(long, text.rlike(DATE_MARKS))}

@@ -134,3 +134,10 @@ def test_nested_columns_and_odd_names(spark):
     rows = {r.column: r for r in P.column_profile(df).collect()}
     assert rows["a.b"].semantic_type == "categorical" and rows["a.b"].unique_count == 1
     assert rows["c`d"].numerical["mean"] == 1.5
+
+
+def test_blanks_do_not_change_a_type(spark):
+    pad = " " * 300
+    df = spark.createDataFrame([("yes" if i % 2 else "no", f"2021-05-{i + 10}") for i in range(12)], "flag string, day string")
+    padded = df.selectExpr(f"concat(flag, '{pad}') AS flag", f"concat('{pad}', day) AS day")
+    assert kinds(padded) == kinds(df) == {"flag": "boolean", "day": "datetime"}
