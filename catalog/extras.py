@@ -1,5 +1,8 @@
 """Rank correlation, histograms, entropy, interquartile range, tests of group differences."""
 
+from pyspark.sql import functions as F
+
+from facetframe.functions.dates import parse_text
 from facetframe.operators import extensions as X
 from facetframe.operators.profile import column_profile
 
@@ -60,3 +63,12 @@ SELECT count(*) AS groups, any_value(n)::BIGINT AS rows,
 FROM (SELECT source, sum(r) AS s, count(*) AS c FROM r GROUP BY 1), n, t""")
 def _(spark, sf):
     return rounded(X.kruskal(table(spark, sf, "documents"), "source", "n_chars"), 6)
+
+
+@query("date_spellings", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN date_trunc('month', o_orderdate)::DATE ELSE o_orderdate::DATE END AS day FROM orders""")
+def _(spark, sf):
+    forms = ("MMM d, yyyy", "d MMMM yyyy", "dd-MMMM-yyyy", "yyyy.MM.dd", "MM/dd/yyyy h:mm a", "dd-MMM-yy", "M/d/yy", "yyyy-MM")
+    which = F.col("o_orderkey") % len(forms)
+    spelled = F.coalesce(*[F.when(which == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)])
+    return table(spark, sf, "orders").select("o_orderkey", parse_text(spelled).cast("date").alias("day"))

@@ -48,6 +48,30 @@ def _(spark, sf):
     return C.correlation_pairs(_numbers(spark, sf), min_correlation=0.0, wide_agg_pairs=0).drop("p_value", "importance")
 
 
+_INFINITE = """(SELECT l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE AS b,
+  CASE WHEN l_linenumber = 3 THEN 'inf'::DOUBLE ELSE l_discount END AS c, CASE WHEN l_linenumber <> 3 THEN l_tax END AS d FROM lineitem)"""
+
+
+def _with_infinities(name: str, limit: int):
+    @query(name, f"""
+SELECT 'a' AS column_x, 'b' AS column_y, round(corr(a, b), 4) AS coefficient, regr_count(a, b)::BIGINT AS sample_size FROM {_INFINITE}
+UNION ALL SELECT 'a', 'd', round(corr(a, d), 4), regr_count(a, d)::BIGINT FROM {_INFINITE}
+UNION ALL SELECT 'b', 'd', round(corr(b, d), 4), regr_count(b, d)::BIGINT FROM {_INFINITE}
+UNION ALL SELECT 'c', 'd', round(corr(c, d), 4), regr_count(c, d)::BIGINT FROM {_INFINITE} WHERE d IS NOT NULL""")
+    def _(spark, sf):
+        # c is infinite only where d is missing, so (c, d) is defined, (a, c) and (b, c) are not
+        third = F.col("l_linenumber") == 3
+        df = table(spark, sf, "lineitem").select(
+            F.col("l_quantity").cast("double").alias("a"), F.col("l_extendedprice").cast("double").alias("b"),
+            F.when(third, float("inf")).otherwise(F.col("l_discount")).alias("c"), F.when(~third, F.col("l_tax")).alias("d"))
+        return C.correlation_pairs(df, min_correlation=0.0, wide_agg_pairs=limit).select(
+            "column_x", "column_y", "coefficient", "sample_size")
+
+
+_with_infinities("correlation_with_infinities", 45)
+_with_infinities("correlation_with_infinities_by_matrices", 0)
+
+
 @query("correlation_strength", f"""
 SELECT column_x, column_y, {_LABELS}, CASE WHEN abs(r) >= 0.7 THEN 'HIGH' WHEN abs(r) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS importance
 FROM ({_pairs(("a", "b", "c", "d"), '''(SELECT l_quantity AS a, l_quantity + 20 * l_linenumber AS b,

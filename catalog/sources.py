@@ -38,8 +38,42 @@ def _(spark, sf):
     path = shared_folder(spark, "report-json")
     writers.export_report_json({"supplier": table(spark, sf, "supplier")}, path)
     # written as one record per line
-    return spark.read.option("mode", "FAILFAST").json(f"{path}/supplier").select(
-        "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    return readers.read_json(spark, f"{path}/supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+@query("read_json_array", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, sf):
+    nation = table(spark, sf, "nation")
+    path = shared_folder(spark, "nation-array")
+    # one array of records over several lines: the 25 nations
+    nation.agg(F.regexp_replace(F.to_json(F.collect_list(F.struct("*"))), "\\},", "},\n")).write.text(path)
+    return readers.load(spark, path, "json", nation.schema, multi_line=True)
+
+
+@query("load_errors", """
+SELECT * FROM (VALUES ('absent', 'DatasetNotFoundError'), ('header', 'EmptyDatasetError'), ('no bytes', 'EmptyDatasetError'),
+  ('not parquet', 'CorruptDatasetError'), ('ragged', 'CorruptDatasetError'), ('unknown', 'UnsupportedFileFormatError'),
+  ('whole', 'rows: ' || (SELECT count(*) FROM orders))) AS t ("case", result)""")
+def _(spark, sf):
+    """The kinds of failure of the reader, and a good table, all written from orders."""
+    orders = table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", "o_custkey").alias("line"))
+    path = shared_folder(spark, "orders-faulty")
+    broken = F.when(F.col("line").contains("77,"), F.concat("line", F.lit(",1"))).otherwise(F.col("line"))
+    orders.write.text(f"{path}/whole")
+    orders.select(broken.alias("line")).write.text(f"{path}/ragged")          # some rows have a third value
+    orders.limit(0).write.text(f"{path}/no bytes")
+    orders.select(F.lit("a,b").alias("line")).limit(1).write.text(f"{path}/header")
+
+    def outcome(case: str, fmt: str | None) -> str:
+        try:
+            return f"rows: {readers.load(spark, f'{path}/{case}', fmt, 'a long, b long').count() + (case == 'whole')}"
+        except readers.IngestionError as err:
+            return type(err).__name__
+
+    cases = {"absent": "csv", "header": "csv", "no bytes": "csv", "ragged": "csv", "unknown": None, "whole": "csv"}
+    rows = [(c, outcome(c, fmt)) for c, fmt in cases.items()]
+    rows.append(("not parquet", outcome("whole", "parquet")))
+    return spark.createDataFrame(rows, "case string, result string")
 
 
 @query("dataset_metadata", """
