@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import cut_lineage
+from .common import written
 
 LEAST = 400
 GRAM = 32
@@ -32,6 +33,8 @@ GRAM = 32
 WIDTHS = (32, 1)
 #: A key with more distinct texts than this is divided; a unit has at most LEAST - GRAM + 1 starts.
 MOST_TEXTS = 1_000
+#: Common prefixes up to here are read off the sorting; a double of the symbols sorted first.
+FIRST = 28
 #: Bytes of text a block aims at.
 BLOCK_BYTES = 1 << 20
 
@@ -118,19 +121,27 @@ def _narrower(width: int):
     return run
 
 
-def _suffixes(s: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 512, sorted by more than LEAST symbols."""
+def _suffixes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of symbols below 512, sorted by more than LEAST symbols, by doubling the sorted length.
+
+    With it, the places that differ from the one before in the first FIRST / 2 and the first FIRST symbols.
+    """
     n, h = len(s), 7
     wide = np.r_[s, np.zeros(h, s.dtype)].astype(np.int64)
     key = np.zeros(n, np.int64)
     for k in range(h):
         key = key << 9 | wide[k:k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
-        place = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
-        if h > LEAST or place[-1] == n:
-            return order
+        border = np.r_[True, ranked[1:] != ranked[:-1]]
+        place = np.cumsum(border)
+        if h == FIRST // 2:
+            shorter = border
+        elif h == FIRST:
+            borders = shorter, border
+        if h > LEAST:
+            return order, *borders
         rank = np.empty(n, np.int64)
         rank[order] = place
         key = rank * (n + 1)
@@ -138,43 +149,35 @@ def _suffixes(s: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def long_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+def long_prefixes(s: np.ndarray, order: np.ndarray, shorter: np.ndarray, short: np.ndarray) -> np.ndarray:
     """For each place of the suffix array, whether it shares LEAST symbols with the place before.
 
-    Breadth first over the length: a border of value l at place j puts, for each symbol c, one of value l + 1 where
-    the c's before j lead by backward extension, unless a shorter one is there. Every border is expanded once.
+    Breadth first over the length: a border of value l at place j puts one of value l + 1 wherever backward
+    extension by a symbol parts what stands on its two sides, unless a shorter one is there.
+    The values below FIRST are known from sorting (``short``); of these the ones from FIRST / 2 (not ``shorter``)
+    are expanded together first, and what they find open has the value FIRST.
     """
-    n = len(s)
-    symbols, last = np.unique(s[order - 1], return_inverse=True)
-    sizes = np.bincount(last, minlength=len(symbols))
-    ends = np.cumsum(sizes)
-    first = ends - sizes
-    words = n // 64 + 1
-    bits = np.zeros((len(symbols), words * 8), np.uint8)
-    for c in range(len(symbols)):
-        packed = np.packbits(last == c, bitorder="little")
-        bits[c, :len(packed)] = packed
-    bitmap = np.ascontiguousarray(bits.view("<u8").T)
-    before = np.zeros((words, len(symbols)), np.int64)
-    np.cumsum(np.bitwise_count(bitmap[:-1]), axis=0, out=before[1:])
-    before += first
-    open_ = np.ones(n + 1, bool)
-    open_[n] = False
-    border = np.unique(first)
-    open_[border] = False
-    for _ in range(LEAST - 1):
-        found = []
-        for at in range(0, len(border), 8192):
-            j = border[at:at + 8192]
-            under = (np.uint64(1) << (j & 63).astype(np.uint64)) - np.uint64(1)
-            k = before[j >> 6] + np.bitwise_count(bitmap[j >> 6] & under[:, None])
-            k = k[(k < ends) & open_[k]]
-            open_[k] = False
-            found.append(k)
-        border = np.unique(np.concatenate(found)) if found else border[:0]
+    last = s[order - 1]
+    back = np.argsort(last, kind="stable")              # the place of a suffix without its first symbol
+    lead = np.empty_like(back)
+    lead[back] = np.arange(len(back))
+    open_ = ~short
+    same = np.r_[False, last[1:] == last[:-1]]
+    # places whose shorter suffixes stand side by side get their value from one border, the others from a range
+    k = np.flatnonzero(open_)
+    k = k[back[k] != back[k - 1] + 1]
+    low, high = back[k - 1] + 1, back[k]
+    border = np.flatnonzero(short & ~shorter)
+    for _ in range(FIRST, LEAST):
+        beside = lead[border[same[border]]]
+        hit = np.searchsorted(border, high, "right") > np.searchsorted(border, low)
+        border = np.concatenate([beside[open_[beside]], k[hit]])
+        border.sort()
+        open_[border] = False
+        k, low, high = k[~hit], low[~hit], high[~hit]
         if not len(border):
             break
-    return open_[:n]
+    return open_
 
 
 def block_repeats(texts: list[bytes], owned: list[int], times: list[int]) -> list[np.ndarray]:
@@ -189,8 +192,8 @@ def block_repeats(texts: list[bytes], owned: list[int], times: list[int]) -> lis
     for at, t, n, c in zip(begin, texts, owned, times):
         s[at:at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
         weight[at:at + n] = c
-    order = _suffixes(s)
-    run = np.cumsum(~long_prefixes(s, order))
+    order, *borders = _suffixes(s)
+    run = np.cumsum(~long_prefixes(s, order, *borders))
     total = np.bincount(run, weights=weight[order])
     repeated = np.empty(len(s), bool)
     repeated[order] = total[run] > 1
@@ -257,7 +260,9 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _level(texts: DataFrame, found: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Covered spans (row, lo, hi) of the units that can be decided now, and the units left for a division."""
     seen = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    several = found.join(seen.where("n > 1").withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).drop("__key")
+    # dealt once more, so that the join may split a key that very many units have
+    pairs = seen.where("n > 1").withColumnRenamed("key", "__key").repartition("low")
+    several = found.join(pairs, F.col("key") == F.col("__key")).drop("__key")
     several = cut_lineage(several.withColumn("alike", F.col("low") == F.col("high")).drop("n", "low", "high"))
     covered = several.where("alike").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("owned") + (LEAST - 1)).alias("hi"))
     if last:                # one start a unit: equal keys are equal texts
@@ -294,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                          F.coalesce(col(text).cast("binary"), F.lit(b"")).alias("text")).mapInArrow(
         _pack, "row long, id long, packed binary")
     texts = cut_lineage(packed.repartition(partitions, "row"))           # later joins by row leave the texts in place
-    found, spans = texts.select("row", "packed").mapInArrow(_all_units, UNIT), None
+    found, spans = written(texts.select("row", "packed").mapInArrow(_all_units, UNIT), "units"), None
     for width in (*WIDTHS, None):
         covered, left = _level(texts, found, last=width is None)
         spans = covered if spans is None else spans.unionByName(covered)
