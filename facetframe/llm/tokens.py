@@ -32,7 +32,7 @@ BLOCK = 512
 #: A segment is closed after so many ids, at the end of a document.
 SEGMENT = 1 << 16
 #: Pieces of text whose ids a Python worker remembers; it only saves time.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 SCHEMA = "shard int, segment int, start long, doc_ids array<long>, lengths array<long>, codes binary"
 
 # White space as Unicode lists it. A pre-token of the byte-level pattern never goes on from a letter or digit to
@@ -111,7 +111,7 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     if not cut:
         return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     pieces = [_PIECE.findall(t) for t in texts]
-    present = {p for ps in pieces for p in ps}
+    present = set().union(*pieces)
     if len(known) + len(present) > REMEMBERED:
         known.clear()
     _learn(list(present.difference(known)), tokenizer, known)
@@ -126,8 +126,8 @@ def _learn(fresh: list[str], tokenizer, known: dict[str, bytes]) -> None:
     """
     line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
     plain = [p for p in fresh if _PLAIN.fullmatch(p)] if len(line_feed) == 1 else []
-    for at in range(0, len(plain), 4096):
-        part = plain[at:at + 4096]
+    for at in range(0, len(plain), 64):
+        part = plain[at:at + 64]
         ids = np.array(tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (4 * np.flatnonzero(ids == line_feed[0])).tolist()
         raw = ids.tobytes()
