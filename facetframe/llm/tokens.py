@@ -94,22 +94,30 @@ class Codes:
 
 @cache
 def _tokenizer(path: str):
-    """The tokenizer, whether its texts may be cut into pieces, and what this worker remembers of them."""
+    """The tokenizer, its added tokens if texts without them may be cut into pieces, and what this worker remembers."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True          # their strings in a text are ordinary text
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     spec = json.loads(Path(path).read_text())
     pre = spec.get("pre_tokenizer") or {}
     cut = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-           and spec.get("normalizer") is None)
-    return tokenizer, cut, {}
+           and spec.get("normalizer") is None and not any("\n" in a for a in added))
+    return tokenizer, added if cut else None, {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each whole text, as the tokenizer gives them without special tokens."""
-    tokenizer, cut, known = _tokenizer(path)
-    if not cut:
-        return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    """The ids of each whole text, as the tokenizer gives them by default, without adding special tokens.
+
+    An added token in a text is an id of its own, and may reach across pieces: such a text is encoded as a whole.
+    """
+    tokenizer, added, known = _tokenizer(path)
+    uncut = [i for i, t in enumerate(texts) if added is None or any(a in t for a in added)]
+    if uncut:
+        out = dict(zip(uncut, (np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(
+            [texts[i] for i in uncut], add_special_tokens=False))))
+        others = [i for i in range(len(texts)) if i not in out]
+        out.update(zip(others, encode_texts([texts[i] for i in others], path) if others else []))
+        return [out[i] for i in range(len(texts))]
     pieces = [_PIECE.findall(t) for t in texts]
     present = set().union(*pieces)
     if len(known) + len(present) > REMEMBERED:

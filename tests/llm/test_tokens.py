@@ -48,3 +48,13 @@ def test_files(spark, odd, odd_rows, none, tmp_path):
     asked = spark.createDataFrame([(p,) for p in range(0, at, 97)], "position long")
     assert {r.position: r.token for r in token_at(spark, path, asked).collect()} == {p: int(flat[p]) for p in range(0, at, 97)}
     assert tokens_of(none, public_tokenizer()).count() == 0
+
+
+def test_special_tokens_in_a_text_are_ids_of_their_own(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizer())
+    texts = ["before<|endoftext|>after", "<|endoftext|>", "no token", "", " <|endoftext|>\n<|endoftext|> x<|endoftext|", "<|endoftext|"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [x.tolist() for x in encode_texts(texts, public_tokenizer())] == want
+    rows = tokens_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizer()).collect()
+    assert {r.doc_id: (r.start, r.n_tokens) for r in rows} == {
+        i: (sum(len(w) + 1 for w in want[:i]), len(w) + 1) for i, w in enumerate(want)}
