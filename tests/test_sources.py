@@ -79,3 +79,11 @@ def test_browse(spark, plots):
         B.page(plots, 0)
     with pytest.raises(ValueError):
         B.select_columns(plots, [])
+
+
+def test_load_errors_counts_all_rows_of_several_files(spark, tmp_path):
+    from catalog.registry import QUERIES
+    spark.range(1, 1001).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.case: r.result for r in QUERIES["load_errors"](spark, str(tmp_path)).collect()}
+    assert got["whole"] == "rows: 1000" and got["ragged"] == got["not parquet"] == "CorruptDatasetError"
+    assert got["header"] == got["no bytes"] == "EmptyDatasetError" and got["absent"] == "DatasetNotFoundError"
