@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,19 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Entire public texts, one file for each licence; read by the driver.
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
+# Title lines that stand above texts which are also used without one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+_APPENDIX = "END OF TERMS AND CONDITIONS"
 #: A line that names a holder and a year: dropped before texts are compared.
 COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright[^\p{L}\p{N}]*(\(c\)|©|[0-9]{4})|\(c\)[^\p{L}\p{N}]*[0-9]{4}|©)"
 APART = r"[^\p{L}\p{N}\n]+"
@@ -79,8 +95,33 @@ def whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def _forms(licence: str, text: str) -> list[str]:
+    """A text as it is also written: without its title or the appendix on its use, clauses unnumbered, owner for holder."""
+    forms = [text]
+    if licence.startswith("BSD"):
+        forms += [f.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for f in forms]
+        forms += [re.sub(r"(?m)^[1-3]\. ", "* ", f) for f in forms]
+    if _APPENDIX in text:
+        terms = text.split(_APPENDIX)[0]
+        forms += [terms, terms + _APPENDIX, re.sub(r"(?m)^.*Copyright \[yyyy\].*$", "", text)]     # a name filled in goes, too
+    if licence not in TITLES:
+        rest = [f.lstrip().split("\n\n", 1)[1] for f in forms]
+        return forms + rest
+    # the second line of a copyright notice, which texts of two lines have
+    forms += ["All rights reserved.\n\n" + f for f in forms]
+    return forms + [f"{title}\n\n{f}" for title in TITLES[licence] for f in forms]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text): KNOWN, and the entire texts of TEXTS and of KNOWN, in all their forms."""
+    entire = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    entire += [(licence, text) for licence, text in KNOWN if licence in TITLES and "\n\n" in text]
+    return [*KNOWN, *((licence, form) for licence, text in entire for form in _forms(licence, text))]
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(licence, digest) of entire known texts."""
+    known = known_texts() if known is None else known
     texts = spark.createDataFrame(list(known), "licence string, text string")
     return texts.select("licence", F.md5(whole(canonical_lines(F.col("text")))).alias("digest")).distinct()
 
