@@ -13,6 +13,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -31,14 +32,20 @@ CHUNK = 8
 BLOCK = 512
 #: A segment is closed after so many ids, at the end of a document.
 SEGMENT = 1 << 16
-#: Pieces of text whose ids a Python worker remembers; it only saves time.
-REMEMBERED = 1_200_000
+#: Pieces and chunks of text whose ids a Python worker remembers; it only saves time.
+REMEMBERED = 1_600_000
 SCHEMA = "shard int, segment int, start long, doc_ids array<long>, lengths array<long>, codes binary"
 
 # White space as Unicode lists it. A pre-token of the byte-level pattern never goes on from a letter or digit to
 # anything else, nor from any other character to white space, so a text may be cut there.
 _WS = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_OTHER_ASCII = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_OTHER = _OTHER_ASCII + tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PLAIN = re.compile(rf" ?[^{_WS}]+")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
+_KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
+_SIMPLE = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 _PIECE = re.compile(rf"[{_WS}]*(?:[^\W_]+|(?:[^\w{_WS}]|_)+[^\W_]*)|[{_WS}]+")
 
 
@@ -94,57 +101,117 @@ class Codes:
 
 @cache
 def _tokenizer(path: str):
-    """The tokenizer, its added tokens if texts without them may be cut into pieces, and what this worker remembers."""
+    """The tokenizer, its added tokens if texts without them may be cut into pieces, and what this worker remembers:
+    the ids of pieces and those of chunks."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     spec = json.loads(Path(path).read_text())
     pre = spec.get("pre_tokenizer") or {}
     cut = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-           and spec.get("normalizer") is None and not any("\n" in a for a in added))
-    return tokenizer, added if cut else None, {}
+           and spec.get("normalizer") is None and not any("\n" in a for a in added)
+           and len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1)
+    return tokenizer, added if cut else None, {}, {}
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
+def even(text: str) -> bool:
+    """Whether the white space of a text is single blanks and line feeds, none at the beginning.
+
+    Before each of them such a text may be cut without parting a pre-token.
+    """
+    return not (text[:1].isspace() or any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER))
+                or any(c in text for c in ("  ", "\n\n", " \n", "\n ")))
+
+
+def chunks_of(text: str) -> list[str]:
+    """An even text with a line feed before it, cut before every blank and line feed; the blank of a chunk is left out."""
+    return ("\n" + text.replace("\n", " \n")).split(" ")
+
+
+def encode_texts(texts: list[str], path: str, plain: bool = False) -> list[np.ndarray]:
     """The ids of each whole text, as the tokenizer gives them by default, without adding special tokens.
 
     An added token in a text is an id of its own, and may reach across pieces: such a text is encoded as a whole.
+    With ``plain`` added tokens are text like any other.
     """
-    tokenizer, added, known = _tokenizer(path)
-    uncut = [i for i, t in enumerate(texts) if added is None or any(a in t for a in added)]
-    if uncut:
-        out = dict(zip(uncut, (np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(
-            [texts[i] for i in uncut], add_special_tokens=False))))
-        others = [i for i in range(len(texts)) if i not in out]
-        out.update(zip(others, encode_texts([texts[i] for i in others], path) if others else []))
-        return [out[i] for i in range(len(texts))]
-    pieces = [_PIECE.findall(t) for t in texts]
-    present = set().union(*pieces)
-    if len(known) + len(present) > REMEMBERED:
-        known.clear()
-    _learn(list(present.difference(known)), tokenizer, known)
-    return [np.frombuffer(b"".join(map(known.__getitem__, ps)), dtype="<u4") for ps in pieces]
-
-
-def _learn(fresh: list[str], tokenizer, known: dict[str, bytes]) -> None:
-    """Add the ids of pieces to ``known``.
-
-    Pieces with one blank at most travel in one text with a line feed after each, which is a pre-token and an
-    id of its own there; this saves a call for each piece. Others are encoded by themselves.
+    tokenizer, added, pieces, chunks = _tokenizer(path)
+    if tokenizer.encode_special_tokens != plain:
+        tokenizer.encode_special_tokens = plain
+    out: list[np.ndarray] = [None] * len(texts)
+    whole, found, cut_up = [], [], []
+    for i, t in enumerate(texts):
+        if added is None or not plain and any(a in t for a in added):
+            whole.append(i)
+        elif even(t):
+            cut_up.append((i, chunks_of(t)))
+        else:
+            found.append((i, _PIECE.findall(t)))
+    for i, e in zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+        out[i] = np.array(e.ids, dtype="<u4")
+    for known, cuts, learn, skipped in ((pieces, found, _learn_pieces, 0), (chunks, cut_up, _learn_chunks, 1)):
+        present = set().union(*[c for _, c in cuts])
+        if len(pieces) + len(chunks) + len(present) > REMEMBERED:
+            pieces.clear()
+            chunks.clear()
+        learn(list(present.difference(known)), tokenizer, known, pieces)
+        for i, cut in cuts:
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, cut)), dtype="<u4")[skipped:]
+    return out
+
+
+def _ids_of(pieces: list[str], tokenizer) -> Iterator[bytes]:
+    """The ids of pieces with one blank at most, which may lead; none has a line feed.
+
+    They travel in one text with a line feed after each, which is a pre-token and an id of its own there; this saves
+    a call for each piece.
     """
-    line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    plain = [p for p in fresh if _PLAIN.fullmatch(p)] if len(line_feed) == 1 else []
-    for at in range(0, len(plain), 64):
-        part = plain[at:at + 64]
-        ids = np.array(tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = (4 * np.flatnonzero(ids == line_feed[0])).tolist()
+    line_feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+    for at in range(0, len(pieces), 64):
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(pieces[at:at + 64]) + "\n"], add_special_tokens=False)[0].ids,
+                       dtype="<u4")
+        ends = (4 * np.flatnonzero(ids == line_feed)).tolist()
         raw = ids.tobytes()
-        known.update(zip(part, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
+        yield from (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))
+
+
+def _learn_pieces(fresh: list[str], tokenizer, known: dict[str, bytes], _) -> None:
+    plain = [p for p in fresh if _PLAIN.fullmatch(p)]
+    known.update(zip(plain, _ids_of(plain, tokenizer)))
     rest = [p for p in fresh if p not in known]
     known.update((p, np.array(e.ids, dtype="<u4").tobytes())
                  for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
 
 
+def _learn_chunks(fresh: list[str], tokenizer, known: dict[str, bytes], pieces: dict[str, bytes]) -> None:
+    """Add the ids of chunks. Where the pre-tokens of a chunk are plain, their ids are shared among chunks."""
+    tokenize = tokenizer.model.tokenize
+    lines, words = [], []
+    for c in fresh:
+        if c[:1] == "\n":
+            lines.append(c)
+            continue
+        if c.isalpha() and max(c) < "\u0250":                # Latin letters: one pre-token with the blank
+            parts = [" " + c]
+        elif c.isascii() and c.isprintable() and c and "'" not in c:
+            parts = _SIMPLE.findall(c)
+            parts[0] = " " + parts[0]
+        else:
+            words.append(c)
+            continue
+        for part in parts:
+            if part not in pieces:
+                seen = part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                pieces[part] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+        known[c] = b"".join(map(pieces.__getitem__, parts))
+    words = [w for w in words if w]
+    known.update(zip(words, _ids_of([" " + w for w in words], tokenizer)))
+    feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    bare = [c for c in lines if len(c) > 1]
+    known.update((c, feed + ids) for c, ids in zip(bare, _ids_of([c[1:] for c in bare], tokenizer)))
+    known["\n"] = feed
+    known[""] = np.array(tokenizer.encode(" ", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
