@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .alignment import align_tokenizers
 from .ann import nearest
 from .decontaminate import find_leaks
 from .langid import identify_languages
 from .licences import APART, COPYRIGHT, KNOWN, SPELLINGS, scan_licences
 from .mixing import mix_plan
+from .packing import packed_pieces
 from .repeats import remove_repeats, repeat_digest
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import regular_tree, shard, with_region
 from .simhash import simhash_components
 from .tokens import tokens_of
+from .trie import conversation_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,9 +110,9 @@ def op2(spark, d):
     return identify_languages(table(spark, d, "documents"))
 
 
-def public_tokenizer() -> str:
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op4_token_files")
@@ -157,3 +160,45 @@ FROM units JOIN known ON unit = known.whole WHERE unit <> '' GROUP BY ALL
 @query("op8_licences", _licence_sql())
 def op8(spark, d):
     return scan_licences(table(spark, d, "documents"))
+
+
+@query("op11_packing")
+def op11(spark, d):
+    return packed_pieces(table(spark, d, "documents"), public_tokenizer())
+
+
+@query("op12_alignment")
+def op12(spark, d):
+    return align_tokenizers(table(spark, d, "documents"), public_tokenizer(), public_tokenizer("piece_bpe_32k.model"))
+
+
+@query("op13_conversation_trie", r"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+               FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, conv_id - conv_id % 20 AS base, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+            string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce(
+            list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))
+            AS state FROM (SELECT DISTINCT conv_id FROM turns)),
+convs AS (SELECT conv_id, base, xor(state, 4294967295) % 4 AS h FROM crc),
+heads AS (SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.h),
+seq AS (SELECT conv_id, 0 AS side, place, role, text FROM heads
+        UNION ALL SELECT t.conv_id, 1, t.place, t.role, t.text FROM turns t JOIN convs c ON t.conv_id = c.conv_id WHERE t.place >= c.h),
+built AS (SELECT c.conv_id, coalesce(list({'r': role, 't': text} ORDER BY side, place) FILTER (role IS NOT NULL), []) AS s
+          FROM convs c LEFT JOIN seq ON seq.conv_id = c.conv_id GROUP BY c.conv_id),
+members AS (SELECT conv_id, len(s) AS length, unnest(range(0, len(s) + 1)) AS depth, s FROM built),
+named AS (SELECT conv_id, depth, length, sha256(to_json(s[1:depth])::VARCHAR) AS node,
+                 CASE WHEN depth > 0 THEN sha256(to_json(s[1:depth - 1])::VARCHAR) END AS parent,
+                 CASE WHEN depth > 0 THEN len(regexp_extract_all(s[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM members),
+nodes AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 (count(*) - 1) * any_value(words) AS saved,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends FROM named GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+path AS (SELECT DISTINCT a.node AS top, b.node FROM named a JOIN named b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT top, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM path JOIN known USING (node) GROUP BY top)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends AS ends_sha256
+FROM known k JOIN sums s ON s.top = k.node LEFT JOIN known p ON p.node = k.parent
+""")
+def op13(spark, d):
+    return conversation_trie(table(spark, d, "conversations"))
