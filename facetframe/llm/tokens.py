@@ -20,7 +20,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,27 +211,18 @@ def _learn_chunks(fresh: list[str], tokenizer, known: dict[str, bytes], pieces:
     known[""] = np.array(tokenizer.encode(" ", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [pack.compress(t.as_py() or b"") for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["id", "hash", "packed"])
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id",
                  text: str = "text") -> None:
     """Write the ids of all documents to ``path``, in ascending order of id, null ids first.
 
     Each document ends with ``end_id``. Null text is an empty text. Rows of equal id stand in the order of a
-    hash of their texts. Texts travel compressed to range partitions; a partition is a shard of the file set.
+    hash of their texts. Texts travel to range partitions; a partition is a shard of the file set.
     """
-    slim = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text)).alias("hash"),
-                       col(text).cast("binary").alias("text"))
-    ordered = slim.mapInArrow(_packed, "id long, hash long, packed binary").repartitionByRange("id", "hash") \
-        .sortWithinPartitions("id", "hash").withColumn("shard", F.spark_partition_id())
+    slim = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text)).alias("hash"), col(text).alias("text"))
+    ordered = slim.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, held, ids, size, segment, start, shard = zstandard.ZstdDecompressor(), [], [], 0, 0, 0, 0
+        held, ids, size, segment, start, shard = [], [], 0, 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -243,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = [unpack.decompress(p.as_py()).decode(errors="replace") for p in part.column(2)]
+                texts = [t or "" for t in part.column(2).to_pylist()]
                 shard = part.column(3)[0].as_py()
                 for i, coded in zip(part.column(0), encode_texts(texts, tokenizer)):
                     held.append(np.append(coded, np.uint32(end_id)))
