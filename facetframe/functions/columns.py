@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +87,11 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.to(schema).toArrow(), schema)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; no job runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input to every core; a larger one stays as its reader splits it.
 
@@ -90,6 +99,21 @@ def spread(df: DataFrame) -> DataFrame:
     them in turns, so a retried task deals them alike, and equal rows are spread like any others. The size is
     the optimizer's estimate: no job runs for it, and only the partitioning depends on it.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT_BYTES:
+    if estimated_bytes(df) > SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def dealt(df: DataFrame, deal: bool = True) -> Iterator[DataFrame]:
+    """``spread`` rows for several scans: a small input is dealt once and kept meanwhile, a larger one is read each time.
+
+    Without ``deal`` the rows are as they come: the caller has dealt them.
+    """
+    small = deal and estimated_bytes(df) <= SMALL_INPUT_BYTES
+    rows = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if small else df
+    try:
+        yield rows
+    finally:
+        if small:
+            rows.unpersist()

@@ -40,7 +40,7 @@ def _slots(field: T.StructField) -> dict[str, Column]:
             "long_text": F.when(long, text.rlike(DATE_MARKS))}
 
 
-def cells(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
+def cells(df: DataFrame, ordinals: list[int] | None = None, deal: bool = True) -> DataFrame:
     """(ordinal, l, d, s, t, long_text) of every non-null value of the chosen columns."""
     fields = df.schema.fields
     ordinals = list(range(len(fields))) if ordinals is None else ordinals
@@ -53,18 +53,18 @@ def cells(df: DataFrame, ordinals: list[int] | None = None) -> DataFrame:
         rows.append(F.struct(F.lit(ordinal).alias("ordinal"), *[
             slots.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in _SLOTS.items()]))
     filled = F.coalesce(*[F.when(F.col(s).isNotNull(), True) for s in ("l", "d", "s", "t")])
-    return spread(df).select(F.inline(F.array(*rows))).where(filled)
+    return (spread(df) if deal else df).select(F.inline(F.array(*rows))).where(filled)
 
 
-def value_counts(df: DataFrame) -> DataFrame:
+def value_counts(df: DataFrame, ordinals: list[int] | None = None, deal: bool = True) -> DataFrame:
     """The distinct cells with their ``weight``."""
-    return cells(df).groupBy("ordinal", *_SLOTS).agg(F.count("*").alias("weight"))
+    return cells(df, ordinals, deal).groupBy("ordinal", *_SLOTS).agg(F.count("*").alias("weight"))
 
 
 @contextmanager
-def counted(df: DataFrame):
+def counted(df: DataFrame, ordinals: list[int] | None = None, deal: bool = True):
     """Value counts kept on the executors while several aggregates read them."""
-    counts = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = value_counts(df, ordinals, deal).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield counts
     finally:

@@ -1,10 +1,10 @@
 """Column and table profiles.
 
-Everything about single columns is derived from one table of *value counts*: one
-row per (column, distinct value) with its weight. Building it is the only shuffle
-of the data, and it combines map-side, so a value that fills a third of the table
-arrives as one row per task. Distinct counts, modes, moments and quantiles are
-then small aggregates over it.
+Numbers never leave their task: one scan takes counts, sums and bounds, the next ones the moments and histograms whose
+buckets narrow the quantiles down, and different values are counted by bitmaps or 8-byte digests (``functions/ranks``).
+Text, boolean and time columns are reduced to *value counts*, one row per (column, distinct value) with its weight,
+combined map-side, so a value that fills a third of the table arrives as one row per task. Types, modes, top values
+and spans are small aggregates over these.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.columns import (INFINITY, col, finite_or_null, is_float, normalize, percent_of,
-                                 pin, spread)
-from ..functions.quantiles import RANKED_VALUES, quantiles
-from .cells import counted, number, original_texts, text
-from .semantic import SEMANTIC_TYPES, ColumnKind, column_kinds, kinds_from, kinds_table
+from ..functions.columns import col, dealt, finite_or_null, is_float, is_numeric, normalize, percent_of, pin, spread
+from ..functions.ranks import BUCKETS, distinct_counts, number_summary
+from .cells import cells, counted, original_texts, text
+from .semantic import (SEMANTIC_TYPES, ColumnKind, boolean_name, column_kinds, identifier_name, kinds_from,
+                       kinds_table)
 
 # Text that counts as true; all other text counts as false.
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
@@ -28,30 +28,15 @@ TRUE_WORDS = ("true", "t", "yes", "y", "1")
 
 # --------------------------------------------------------------------------- per type
 
-def _number() -> Column:
-    return F.coalesce("d", F.col("l").cast("double"), F.expr("try_cast(s AS double)"))
-
-
-def _numerical(counts: DataFrame, limit: int = RANKED_VALUES) -> DataFrame:
-    weighted = (counts.select("ordinal", number().alias("value"), "weight")
-                .where(F.col("value").isNotNull()))
-    w, x = F.col("weight"), F.col("value")
-    infinite = F.abs(x) == F.lit(INFINITY)
-    centre = pin(weighted.groupBy("ordinal").agg(
-        F.sum(w).alias("total"), F.count("*").alias("inside"),
-        (F.sum(w * x) / F.sum(w)).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.min(F.when(~infinite, x)).alias("low"), F.max(F.when(~infinite, x)).alias("high"),
-        F.sum(F.when(infinite, w).otherwise(0)).alias("infinite")))
-    e = F.col("value") - F.col("mean")
-    spread_out = (
-        weighted.join(F.broadcast(centre), "ordinal")           # one row per column
-        .groupBy("ordinal", "total", "mean", "min", "max", "infinite")
-        .agg(F.sum(w * e * e).alias("m2"), F.sum(w * e * e * e).alias("m3"),
-             F.sum(w * e * e * e * e).alias("m4")))
+def _numerical(df: DataFrame, ordinals: list[int], buckets: int = BUCKETS, deal: bool = True) -> DataFrame:
+    """(ordinal, infinite, numerical) from rounds over the raw rows."""
     probs = [0.25, 0.5, 0.75]
-    cut = quantiles(weighted, ["ordinal"], probs, totals=centre, limit=limit)
-    cut = cut.groupBy("ordinal").agg(*[
-        F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in probs])
+    found = number_summary(df, ordinals, probs, buckets, deal)
+    names = ("count", "infinite", "mean", "min", "max", "m2", "m3", "m4")
+    rows = [(o, *[None if f[n] is None else f[n] if n in names[:2] else float(f[n]) for n in names], *map(f["quantiles"].get, probs))
+            for o, f in found.items()]
+    spread_out = df.sparkSession.createDataFrame(rows, "ordinal int, total long, infinite long, " + ", ".join(
+        f"{c} double" for c in (*names[2:], "q25", "q50", "q75")))
     n, m2 = F.col("total").cast("double"), F.col("m2")
     variance = F.when(n > 1, m2 / F.greatest(n - 1, F.lit(1.0)))
     flat = m2 == 0
@@ -65,7 +50,7 @@ def _numerical(counts: DataFrame, limit: int = RANKED_VALUES) -> DataFrame:
         "mean": F.col("mean"), "median": F.col("q50"), "std": F.sqrt(variance), "variance": variance,
         "min": F.col("min"), "max": F.col("max"), "q25": F.col("q25"), "q50": F.col("q50"),
         "q75": F.col("q75"), "skewness": skew, "kurtosis": kurt}
-    return spread_out.join(cut, "ordinal", "left").select(
+    return spread_out.select(
         "ordinal", F.col("infinite").cast("long").alias("infinite"),
         F.struct(F.col("total").cast("long").alias("count"),
                  *[finite_or_null(c).alias(name) for name, c in clean.items()]).alias("numerical"))
@@ -149,13 +134,28 @@ def _boolean(counts: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- operators
 
-def _common(counts: DataFrame, kinds: list[ColumnKind], rows: int) -> DataFrame:
-    sizes = counts.groupBy("ordinal").agg(F.sum("weight").alias("present"),
-                                          F.count("*").alias("unique_count"))
-    total = F.lit(rows).cast("long")
-    missing = total - F.coalesce("present", F.lit(0))
-    unique = F.coalesce("unique_count", F.lit(0).cast("long"))
-    return kinds_table(counts.sparkSession, kinds).join(F.broadcast(sizes), "ordinal", "left").select(
+def _by_value(df: DataFrame) -> tuple[list[int], list[int]]:
+    """Columns that are reduced to value counts, and the numbers among the others whose name asks for a look at the values."""
+    plain = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType) and not boolean_name(f.name)]
+    return ([i for i in range(len(df.columns)) if i not in set(plain)],
+            [i for i in plain if identifier_name(df.columns[i])])
+
+
+def _kinds(df: DataFrame, counts: DataFrame, looked_at: list[int]) -> list[ColumnKind]:
+    """The types of all columns, from value counts and the raw cells of a few columns."""
+    return kinds_from(df, counts.unionByName(cells(df, looked_at, deal=False).withColumn("weight", F.lit(1).cast("long"))))
+
+
+def _common(df: DataFrame, counts: DataFrame, kinds: list[ColumnKind], counted_ordinals: list[int]) -> DataFrame:
+    """Totals of each column of dealt rows: those of ``counted_ordinals`` from the value counts, others from the rows."""
+    sizes = {r.ordinal: (r.present, r.different) for r in counts.groupBy("ordinal").agg(
+        F.sum("weight").alias("present"), F.count("*").alias("different")).collect()}
+    clean = normalize(df)
+    sizes |= distinct_counts(clean, [i for i in range(len(df.columns)) if i not in set(counted_ordinals)], deal=False)
+    total, zero = F.lit(df.count()).cast("long"), F.lit(0).cast("long")
+    seen = df.sparkSession.createDataFrame([(o, *v) for o, v in sizes.items()], "ordinal int, present long, different long")
+    missing, unique = total - F.coalesce("present", zero), F.coalesce("different", zero)
+    return kinds_table(df.sparkSession, kinds).join(F.broadcast(seen), "ordinal", "left").select(
         "ordinal", "column", "physical_type", "semantic_type", total.alias("row_count"),
         missing.alias("missing_count"), percent_of(missing, total).alias("missing_percentage"),
         unique.alias("unique_count"), percent_of(unique, total).alias("unique_percentage"))
@@ -168,14 +168,14 @@ def _together(parts: list[DataFrame]) -> DataFrame:
                                          for c in tall.columns if c != "ordinal"])
 
 
-def column_profile(df: DataFrame, top_n: int = 10, limit: int = RANKED_VALUES) -> DataFrame:
+def column_profile(df: DataFrame, top_n: int = 10) -> DataFrame:
     """One row per column: common figures and one filled struct for its semantic type.
 
-    One scan and one shuffle of the table, whatever the number of columns.
+    A few scans of the numbers without a shuffle of rows, and one shuffle of the value counts of the other columns.
     """
-    rows = df.count()
-    with counted(df) as counts:
-        kinds = kinds_from(df, counts)
+    by_value, looked_at = _by_value(df)
+    with dealt(df) as df, counted(df, by_value, deal=False) as counts:
+        kinds = _kinds(df, counts, looked_at)
 
         def of(semantic_type: str) -> tuple[list[ColumnKind], DataFrame]:
             chosen = [k for k in kinds if k.semantic_type == semantic_type]
@@ -183,8 +183,8 @@ def column_profile(df: DataFrame, top_n: int = 10, limit: int = RANKED_VALUES) -
 
         times, time_counts = of("datetime")
         out = _together([
-            _common(counts, kinds, rows),
-            _numerical(of("numerical")[1], limit),
+            _common(df, counts, kinds, by_value),
+            _numerical(df, [k.ordinal for k in kinds if k.semantic_type == "numerical"], deal=False),
             _categorical(_top_values(df, of("categorical")[1], top_n)),
             _datetime(time_counts, times),
             _boolean(of("boolean")[1])])
@@ -214,31 +214,29 @@ def _as_given(df: DataFrame, semantic_type: str) -> list[ColumnKind]:
 def common_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Total, missing and distinct counts of each column, any type."""
     df = df if columns is None else df.select(*[col(c) for c in columns])
-    rows = df.count()
-    with counted(df) as counts:
-        return pin(_common(counts, kinds_from(df, counts), rows).orderBy("ordinal"))
+    by_value, looked_at = _by_value(df)
+    with dealt(df) as df, counted(df, by_value, deal=False) as counts:
+        return pin(_common(df, counts, _kinds(df, counts, looked_at), by_value).orderBy("ordinal"))
 
 
 def numerical_stats(df: DataFrame, columns: list[str] | None = None,
-                    limit: int = RANKED_VALUES) -> DataFrame:
+                    buckets: int = BUCKETS) -> DataFrame:
     """(column, count, mean, median, std, variance, min, max, q25, q50, q75, skewness,
     kurtosis, infinite_count); sample moments, linear quantiles."""
     df = _chosen(df, columns, "numerical")
-    with counted(df) as counts:
-        names = kinds_table(df.sparkSession, _as_given(df, "numerical"))
-        stats = names.join(_numerical(counts, limit), "ordinal", "left").orderBy("ordinal")
-        return pin(stats.select("column", "numerical.*",
-                                F.coalesce("infinite", F.lit(0).cast("long")).alias("infinite_count"))
-                   .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))
+    names = kinds_table(df.sparkSession, _as_given(df, "numerical"))
+    stats = names.join(_numerical(df, list(range(len(df.columns))), buckets), "ordinal", "left").orderBy("ordinal")
+    return pin(stats.select("column", "numerical.*", F.coalesce("infinite", F.lit(0).cast("long")).alias("infinite_count"))
+               .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))
 
 
 def categorical_stats(df: DataFrame, columns: list[str] | None = None, top_n: int = 10) -> DataFrame:
     """(column, unique_count, missing_count, missing_percentage, most_frequent,
     most_frequent_frequency, top_values)."""
     df = _chosen(df, columns, "categorical")
-    rows = df.count()
+    every = list(range(len(df.columns)))
     with counted(df) as counts:
-        return pin(_common(counts, _as_given(df, "categorical"), rows)
+        return pin(_common(df, counts, _as_given(df, "categorical"), every)
                    .join(_categorical(_top_values(df, counts, top_n)), "ordinal", "left")
                    .orderBy("ordinal")
                    .select("column", "unique_count", "missing_count", "missing_percentage",
@@ -257,10 +255,10 @@ def top_values(df: DataFrame, columns: list[str], top_n: int = 10) -> DataFrame:
 def datetime_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, missing_count, missing_percentage, min, max, unique_count, time_span, span_days)."""
     df = _chosen(df, columns, "datetime")
-    rows = df.count()
+    every = list(range(len(df.columns)))
     with counted(df) as counts:
         kinds = kinds_from(df, counts)
-        return pin(_common(counts, kinds, rows).drop("unique_count")
+        return pin(_common(df, counts, kinds, every).drop("unique_count")
                    .join(_datetime(counts, kinds), "ordinal", "left").orderBy("ordinal")
                    .select("column", "missing_count", "missing_percentage", "datetime.min",
                            "datetime.max",

@@ -41,12 +41,12 @@ class ColumnKind:
     day_first: bool = False
 
 
-def _boolean_name(name: str) -> bool:
+def boolean_name(name: str) -> bool:
     lowered = name.lower()
     return lowered.startswith(BOOLEAN_PREFIXES) or lowered.endswith(BOOLEAN_SUFFIXES)
 
 
-def _identifier_name(name: str) -> bool:
+def identifier_name(name: str) -> bool:
     return re.search(IDENTIFIER_NAME, name, re.IGNORECASE) is not None
 
 
@@ -84,11 +84,11 @@ def _decide(name: str, dtype: T.DataType, seen, distinct: int | None,
     if seen is not None:
         if is_text and seen.words and seen.filled:
             return "boolean"
-        if _boolean_name(name) and seen.zero_one:
+        if boolean_name(name) and seen.zero_one:
             return "boolean"
         if is_text and seen.uuids / seen.present >= UUID_SHARE:
             return "identifier"
-        if _identifier_name(name):
+        if identifier_name(name):
             # repeated keys count as well, unless they are fractional numbers
             if distinct is not None:
                 if distinct / seen.present >= id_share:
@@ -110,7 +110,7 @@ def kinds_from(df: DataFrame, values: DataFrame, id_share: float = 0.70,
     fields = df.schema.fields
     seen = {r.ordinal: r for r in _evidence(values).collect()}
     fractional = [i for i, f in enumerate(fields)
-                  if is_float(f.dataType) and _identifier_name(f.name)]
+                  if is_float(f.dataType) and identifier_name(f.name)]
     distinct = {}
     if fractional:
         distinct = {r.ordinal: r.n for r in values.where(F.col("ordinal").isin(fractional))
@@ -130,7 +130,7 @@ def column_kinds(df: DataFrame, id_share: float = 0.70, date_share: float = 0.90
     """Classify every column in one pass over the table, without a shuffle of rows."""
     judged_by_value = [i for i, f in enumerate(df.schema.fields)
                        if isinstance(f.dataType, T.StringType)
-                       or _boolean_name(f.name) or _identifier_name(f.name)]
+                       or boolean_name(f.name) or identifier_name(f.name)]
     values = cells(df, judged_by_value).withColumn("weight", F.lit(1))
     return kinds_from(df, values, id_share, date_share)
 

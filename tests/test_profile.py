@@ -61,12 +61,12 @@ def test_numerical_stats(spark, values, expected):
         assert got[name] == (None if value is None else pytest.approx(value)), name
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_moments_and_quantiles_match_pandas(spark, limit):
+@pytest.mark.parametrize("buckets", [2, 2048])
+def test_moments_and_quantiles_match_pandas(spark, buckets):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"a": rng.lognormal(0, 3, 2000), "b": rng.integers(0, 5, 2000).astype(float),
                           "c": np.where(rng.random(2000) < 0.4, 7.0, rng.normal(0, 1e6, 2000))})
-    got = P.numerical_stats(spark.createDataFrame(frame), limit=limit).toPandas().set_index("column")
+    got = P.numerical_stats(spark.createDataFrame(frame), buckets=buckets).toPandas().set_index("column")
     for c in frame:
         s = frame[c]
         for name, value in dict(mean=s.mean(), std=s.std(), skewness=s.skew(), kurtosis=s.kurt(),
@@ -141,3 +141,34 @@ def test_blanks_do_not_change_a_type(spark):
     df = spark.createDataFrame([("yes" if i % 2 else "no", f"2021-05-{i + 10}") for i in range(12)], "flag string, day string")
     padded = df.selectExpr(f"concat(flag, '{pad}') AS flag", f"concat('{pad}', day) AS day")
     assert kinds(padded) == kinds(df) == {"flag": "boolean", "day": "datetime"}
+
+
+def test_number_summary_with_infinities_copies_and_neighbours(spark):
+    from facetframe.functions.ranks import number_summary
+    near = float(np.nextafter(1.0, 2.0))
+    columns = [[-math.inf] * 3 + [0.0] * 50 + (np.linspace(-1, 1, 40) * 1e308).tolist() + [math.inf] * 2,
+               [1.0] * 40 + [near] * 55, [5e-324, 0.0] * 47 + [1.0], [None] * 95, [math.nan] * 94 + [7.0]]
+    frame = spark.createDataFrame([tuple(map(lambda c: c[i], columns)) for i in range(95)],
+                                  "a double, b double, c double, d double, e double").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = number_summary(frame, [0, 1, 2, 3, 4], probs, buckets=8)
+    assert sorted(got) == [0, 1, 2, 4] and got[4]["count"] == 1 and got[0]["infinite"] == 5
+    for i in (0, 1, 2):
+        ordered = sorted(columns[i])
+        for p in probs:
+            at = p * (len(ordered) - 1)
+            a, b = ordered[int(at)], ordered[min(int(at) + 1, len(ordered) - 1)]
+            want = a if a == b or at == int(at) else a + (b - a) * (at - int(at))
+            assert got[i]["quantiles"][p] == want or math.isclose(got[i]["quantiles"][p], want), (i, p)
+
+
+def test_distinct_counts_by_bitmap_and_digest(spark, monkeypatch):
+    from facetframe.functions import ranks
+    rows = [(i % 700, (i * 2_654_435_761) % 2 ** 40, float(i % 9) - 4.0 if i % 10 else -0.0, f"t{i % 37}", None, i % 3 == 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "near int, far long, num double, word string, none string, flag boolean").repartition(3)
+    want = {i: (sum(v is not None for v in c), len({v for v in c if v is not None})) for i, c in enumerate(zip(*rows))}
+    assert ranks.distinct_counts(df, list(range(6))) == want
+    # a first digest that clashes: the second one shows it, and the texts are counted
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(ranks, "_digest", lambda c, dtype: (F.length(c).cast("long"), F.xxhash64(c)))
+    assert ranks.distinct_counts(df.select("word"), [0]) == {0: want[3]}
