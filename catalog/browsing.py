@@ -1,6 +1,5 @@
 """Record browser and schema detection."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetframe.operators import browse as B
@@ -34,9 +33,15 @@ FROM (SELECT *, CASE WHEN c_nationkey < 20 THEN c_acctbal END AS v FROM customer
 def _(spark, sf):
     gaps = table(spark, sf, "customer").select(
         "c_custkey", "c_name", F.when(F.col("c_nationkey") < 20, F.col("c_acctbal")).alias("v"))
-    # sorted rows are numbered in the order they stand in: by partition, then in it
-    ordered = B.sort_by(gaps, "v", ascending=False).withColumn("at", F.monotonically_increasing_id())
-    return ordered.select("c_custkey", "c_name", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+    numbered = B.OrderIndex(gaps, "v", ascending=False).numbered("at")
+    return numbered.select("c_custkey", "c_name", (F.col("at") + 1).alias("place"))
+
+
+@query("page_deep", """
+SELECT * FROM lineitem ORDER BY l_extendedprice NULLS LAST, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax,
+  l_returnflag, l_linestatus, l_shipdate LIMIT 50 OFFSET 49950""")
+def _(spark, sf):
+    return B.OrderIndex(table(spark, sf, "lineitem"), "l_extendedprice").page(1000, 50)
 
 
 @query("page", """

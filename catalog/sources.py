@@ -78,6 +78,31 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "case string, result string")
 
 
+def _faulty(spark, sf):
+    """Orders as CSV with a header in each file; every seventh row has a third value, every eleventh no number."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    line = (F.when(F.col("a") % 7 == 0, F.concat_ws(",", "a", "b", F.lit("more"))).when(F.col("a") % 11 == 0, F.concat_ws(",", "a", F.lit("none")))
+            .when(F.col("a") % 13 == 0, F.col("a").cast("string")).otherwise(F.concat_ws(",", "a", "b")))
+    path = shared_folder(spark, "orders-rejected")
+    orders.select(line.alias("a,b")).write.option("header", True).option("quote", "").csv(path, sep="\t")
+    return readers.load_tolerant(spark, path, "a long, b long", "csv")
+
+
+@query("load_accepted", """
+SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""")
+def _(spark, sf):
+    return _faulty(spark, sf)[0]
+
+
+@query("load_rejected", """
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey || ',' || o_custkey || ',more' WHEN o_orderkey % 11 = 0 THEN o_orderkey || ',none'
+            ELSE o_orderkey::VARCHAR END AS record,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'too many values' WHEN o_orderkey % 11 = 0 THEN 'b: no bigint' ELSE 'too few values' END AS reason
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
+def _(spark, sf):
+    return _faulty(spark, sf)[1].select("record", "reason")
+
+
 @query("dataset_metadata", """
 SELECT 1::BIGINT AS files, count(*) AS row_count, 11 AS column_count,
        'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS columns

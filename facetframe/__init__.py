@@ -2,7 +2,7 @@
 
 from .operators.anomaly import (anomaly_contribution, isolation_forest, local_outlier_factor,
                                 normalize_scores, score_summary)
-from .operators.browse import browse, clean_cells, page, page_totals, search, select_columns, sort_by
+from .operators.browse import OrderIndex, browse, clean_cells, page, page_totals, search, select_columns, sort_by
 from .operators.cluster import (auto_k, cluster_categories, cluster_profile, cluster_sizes,
                                 distinguishing_features, kmeans, silhouette)
 from .operators.correlation import correlation_pairs
@@ -22,5 +22,5 @@ from .operators.responses import parse_responses
 from .operators.semantic import detect_schema, schema_summary
 from .operators.trend import period_means, trend_fit, trends
 from .plans.analyze import ModelConfig, analyze, analyze_models
-from .sources.readers import dataset_metadata, detect_format, load
+from .sources.readers import dataset_metadata, detect_format, load, load_tolerant
 from .sources.writers import export_csv, export_report_json, report_json

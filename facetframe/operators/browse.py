@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import INFINITY, as_text, col, is_float, is_nested, is_time, normalize
+from ..session import shared_folder
 from .profile import iso_text
 
 MAX_PAGE_SIZE = 100
@@ -25,6 +27,13 @@ def search(df: DataFrame, needle: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, [matches(f) for f in df.schema.fields]))
 
 
+def _order(df: DataFrame, column: str, ascending: bool) -> list[Column]:
+    key = normalize_key(df, column)
+    orderable = {f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()}
+    return [key.asc_nulls_last() if ascending else key.desc_nulls_last(),
+            *[col(c).asc_nulls_last() for c in df.columns if c != column and c in orderable]]
+
+
 def sort_by(df: DataFrame, column: str | None, ascending: bool = True) -> DataFrame:
     """Sort by one column, missing values last either way, ties by the other columns.
 
@@ -32,11 +41,52 @@ def sort_by(df: DataFrame, column: str | None, ascending: bool = True) -> DataFr
     """
     if column is None or column not in df.columns:
         return df
-    key = normalize_key(df, column)
-    first = key.asc_nulls_last() if ascending else key.desc_nulls_last()
-    orderable = {f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()}
-    rest = [col(c).asc_nulls_last() for c in df.columns if c != column and c in orderable]
-    return df.orderBy(first, *rest)
+    return df.orderBy(*_order(df, column, ascending))
+
+
+class OrderIndex:
+    """A sorted copy of a table in the shared folder that knows the position of every row.
+
+    The rows are range-partitioned and sorted once; each part is a folder of its own and its rows are counted. A position
+    is the rows of the parts before plus the place in the part, so no task numbers the whole table, and a page reads the
+    one or two parts it lies in. Only the counts, a row a part, are collected.
+    """
+
+    def __init__(self, df: DataFrame, column: str, ascending: bool = True):
+        self.columns, spark = df.columns, df.sparkSession
+        ranged = df.repartitionByRange(*_order(df, column, ascending)).sortWithinPartitions(*_order(df, column, ascending))
+        # the lower 33 bits of the built-in number count the rows of a part
+        placed = ranged.withColumns({"__part": F.spark_partition_id(),
+                                     "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        path = shared_folder(spark, "order-index")
+        placed.write.partitionBy("__part").parquet(path)
+        self.parts: list[tuple[int, int, int]] = []             # part, first position, rows
+        schema = T.StructType([f for f in placed.schema.fields if f.name != "__part"]).add("__part", T.IntegerType())
+        self.rows, first = spark.read.schema(schema).parquet(path), 0
+        for r in self.rows.groupBy("__part").count().orderBy("__part").collect():
+            self.parts.append((r["__part"], first, r["count"]))
+            first += r["count"]
+        self.total = first
+
+    def numbered(self, name: str = "position") -> DataFrame:
+        """All rows with their position, from 0."""
+        return self._positions(self.rows, self.parts, name).drop("__part", "__in")
+
+    def _positions(self, rows: DataFrame, parts: list[tuple[int, int, int]], name: str) -> DataFrame:
+        spark = rows.sparkSession
+        firsts = spark.createDataFrame([(p, f) for p, f, _ in parts], "__of int, __first long")
+        return rows.join(F.broadcast(firsts), F.col("__part") == F.col("__of")).withColumn(      # a row a part
+            name, F.col("__first") + F.col("__in")).drop("__of", "__first")
+
+    def page(self, number: int = 1, size: int = 50) -> DataFrame:
+        """The rows of one 1-based page, in order."""
+        if number < 1 or size < 1:
+            raise ValueError("page numbers and sizes start at 1")
+        low = (number - 1) * size
+        met = [p for p in self.parts if p[1] < low + size and p[1] + p[2] > low]
+        rows = self.rows.where(F.col("__part").isin([p[0] for p in met]) if met else F.lit(False))
+        placed = self._positions(rows, met, "__position").where(F.col("__position").between(low, low + size - 1))
+        return placed.orderBy("__position").select(*[col(c) for c in self.columns])
 
 
 def normalize_key(df: DataFrame, column: str) -> Column:

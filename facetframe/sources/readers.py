@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from ..session import shared_folder
 
 # File extensions and the format each one means.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
@@ -115,6 +116,43 @@ def load(spark: SparkSession, path: str, fmt: str | None = None,
     return df
 
 
+def load_tolerant(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of CSV or JSON lines: what parses by ``schema``, and (file, record, reason) of what does not.
+
+    The files are parsed once: rows and rejected records are written to the shared folder side by side, and each result
+    reads its own side. A record is rejected if it has too few or too many values, a value that is not of its type, or
+    is no JSON object. Where every record is rejected, the rows are empty.
+    """
+    fmt = fmt or detect_format(path)
+    if fmt not in ("csv", "json"):
+        raise UnsupportedFileFormatError(f"records of '{fmt}' cannot be rejected one by one")
+    fields = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields
+    whole, record = T.StructType([*fields, T.StructField("__record", T.StringType())]), F.col("__record")
+    reader = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__record")
+    try:
+        parsed = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+    except AnalysisException as err:
+        raise DatasetNotFoundError(f"nothing found at {path}") from err
+    if fmt == "csv":
+        texts = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))], T.StructField("more", T.StringType())])
+        said = F.from_csv(record, texts.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+        text = [said[f"c{i}"] for i in range(len(fields))]
+        shape = (F.when(said["more"].isNotNull(), F.lit("too many values"))
+                 .when(F.size(F.split(F.regexp_replace(record, '"[^"]*"', ""), ",")) < len(fields), F.lit("too few values")))
+    else:
+        text = [F.get_json_object(record, "$['" + f.name.replace("'", "\\'") + "']") for f in fields]
+        shape = F.when(~F.coalesce(F.schema_of_variant(F.try_parse_json(record)).startswith("OBJECT"), F.lit(False)), F.lit("no JSON object"))
+    wrong = [F.when(t.isNotNull() & col(f.name).isNull(), F.lit(f"{f.name}: no {f.dataType.simpleString()}")) for f, t in zip(fields, text)]
+    reason = F.coalesce(shape, F.nullif(F.concat_ws("; ", *wrong), F.lit("")), F.lit("does not parse"))
+    judged = parsed.select(*[col(f.name) for f in fields], record, F.when(record.isNotNull(), reason).alias("__reason"),
+                           F.col("_metadata.file_path").alias("__file"), record.isNotNull().alias("__rejected"))
+    out = shared_folder(spark, "loaded")
+    judged.write.partitionBy("__rejected").parquet(out)
+    back = spark.read.schema(judged.schema).parquet(out)
+    return (back.where("NOT __rejected").select(*[col(f.name) for f in fields]),
+            back.where("__rejected").select(F.col("__file").alias("file"), record.alias("record"), F.col("__reason").alias("reason")))
+
+
 def dataset_metadata(df: DataFrame) -> DataFrame:
     """One row about the files a table is read from: count, bytes, columns, row count, time."""
     files = (df.select("_metadata.file_path", "_metadata.file_size")

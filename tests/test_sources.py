@@ -87,3 +87,35 @@ def test_load_errors_counts_all_rows_of_several_files(spark, tmp_path):
     got = {r.case: r.result for r in QUERIES["load_errors"](spark, str(tmp_path)).collect()}
     assert got["whole"] == "rows: 1000" and got["ragged"] == got["not parquet"] == "CorruptDatasetError"
     assert got["header"] == got["no bytes"] == "EmptyDatasetError" and got["absent"] == "DatasetNotFoundError"
+
+
+def test_rejected_records(spark, tmp_path):
+    path = write(tmp_path / "mixed.csv", 'a,b,c\n1,x,2.5\n2,y\n3,z,1.0,9\nfour,"w,w",1.5\n5,,\n6,u,much\n')
+    rows, rejected = S.load_tolerant(spark, path, "a int, b string, c double")
+    assert sorted(map(tuple, rows.collect())) == [(1, "x", 2.5), (5, None, None)]
+    got = {r.record: r.reason for r in rejected.collect()}
+    assert got == {"2,y": "too few values", "3,z,1.0,9": "too many values", 'four,"w,w",1.5': "a: no int", "6,u,much": "c: no double"}
+    assert all(r.file.endswith("mixed.csv") for r in rejected.collect())
+    lines = write(tmp_path / "mixed.json", '{"a": 1, "b": "x"}\n{"a": "one", "b": "y"}\n{broken\n[1]\n{"b": null}\n')
+    rows, rejected = S.load_tolerant(spark, lines, "a int, b string")
+    assert sorted(map(tuple, rows.collect()), key=repr) == [(1, "x"), (None, None)]
+    assert {r.record: r.reason for r in rejected.collect()} == {
+        '{"a": "one", "b": "y"}': "a: no int", "{broken": "no JSON object", "[1]": "no JSON object"}
+    with pytest.raises(S.DatasetNotFoundError):
+        S.load_tolerant(spark, str(tmp_path / "absent.csv"), "a int")
+    with pytest.raises(S.UnsupportedFileFormatError):
+        S.load_tolerant(spark, str(tmp_path / "x.parquet"), "a int")
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_order_index(spark, ascending):
+    values = [None, 3.0, float("nan"), 1.0, 1.0, 2.0, -5.0, None] * 9
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").repartition(5)
+    index = B.OrderIndex(df, "v", ascending)
+    sign = 1 if ascending else -1
+    missing = lambda v: v is None or v != v
+    want = [i for i, v in sorted(enumerate(values), key=lambda t: (missing(t[1]), 0 if missing(t[1]) else sign * t[1], t[0]))]
+    assert index.total == 72 and [r.i for r in index.numbered().orderBy("position").collect()] == want
+    for number in (1, 2, 5, 11):
+        assert [r.i for r in index.page(number, 7).collect()] == want[(number - 1) * 7:number * 7]
+    assert B.OrderIndex(df.limit(0), "v").page(1).count() == 0
