@@ -25,6 +25,9 @@ def test_pieces_give_the_ids_of_whole_texts(spark):
     alphabet = ["a", "Zz", " ", "  ", "\n", "\t", "'", "'s", "'ll", "!", ".", "_", "1", "½", "é", "é", "ß", "雪", "\U0001f600",
                 " ", " ", "　", "\x1c", "\x85", "<|endoftext|", "-"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    words = ["ab", "Été", "don't", "x1", "2²", "½a", "a_b", "end.", "«quote»", "ß!", "Ωmega", "a\xadb", "雪,", "'s", "", "@@", "ªº", "ɐ", "\x7f"]
+    texts += [sep.join(rng.choice(words) for _ in range(rng.randint(1, 12))) + end for sep in (" ", "\n") for end in ("", "\n", " ") for _ in range(300)]
+    texts += [rng.choice(words) + "".join(rng.choice((" ", " ", " ", "\n")) + rng.choice(words[:14]) for _ in range(30)) for _ in range(300)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     tokenizer.encode_special_tokens = True
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
