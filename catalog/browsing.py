@@ -175,7 +175,7 @@ _DOC_SHARES = """WITH s AS (
 
 
 def _document_findings(spark, sf):
-    return analyze_statistics(table(spark, sf, "documents").drop("text"))["findings"]
+    return analyze_statistics(table(spark, sf, "documents"))["findings"]
 
 
 @query("findings_by_column", _DOC_SHARES + """

@@ -19,8 +19,7 @@ BOOLEAN_WORDS = ("true", "false", "t", "f", "yes", "no", "y", "n")
 BOOLEAN_PREFIXES = ("is_", "has_", "can_", "should_", "was_", "flag_")
 BOOLEAN_SUFFIXES = ("_flag", "_bool")
 IDENTIFIER_NAME = r"(^|_)id$|^id(_|$)|uuid|guid|identifier|^pk$|_pk$"
-UUID_VALUE = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}"
-              r"-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+UUID_VALUE = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 UUID_SHARE = 0.8
 
 SCHEMA = T.StructType([
