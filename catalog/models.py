@@ -68,17 +68,36 @@ def _(spark, sf):
     return rounded(near.select("place", "neighbor", "distance"), 6)
 
 
-@query("local_outlier_factor", f"WITH {_DISTANCES},\n" + """
+_LOF = """
 near AS MATERIALIZED (SELECT a, b, d FROM dist QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 20),
 reach AS (SELECT a, max(d) AS k FROM near GROUP BY 1),
 lrd AS MATERIALIZED (SELECT n.a, 1 / (avg(greatest(n.d, r.k)) + 1e-10) AS lrd FROM near n JOIN reach r ON r.a = n.b GROUP BY 1),
 lof AS (SELECT n.a, -avg(o.lrd) / any_value(m.lrd) AS s FROM near n JOIN lrd o ON o.a = n.b JOIN lrd m ON m.a = n.a GROUP BY 1),
 x AS (SELECT quantile_cont(s, 0.05) AS border, min(s) AS low, max(s) AS high FROM lof)
-SELECT a AS vec_id, round(s, 6) AS raw_score, s < border AS is_anomaly, round((high - s) / (high - low), 6) AS anomaly_score FROM lof, x""")
+SELECT a AS vec_id, round(s, 6) AS raw_score, s < border AS is_anomaly, round((high - s) / (high - low), 6) AS anomaly_score FROM lof, x"""
+
+
+@query("local_outlier_factor", f"WITH {_DISTANCES},\n" + _LOF)
 def _(spark, sf):
     return rounded(A.local_outlier_factor(vectors(spark, sf), NAMES, "vec_id"), 6)
 
 
+@query("local_outlier_factor_cosine", f"""WITH {_POINTS},
+dist AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_cosine_distance(a.v, b.v) AS d FROM p a, p b WHERE a.id <> b.id),""" + _LOF)
+def _(spark, sf):
+    return rounded(A.local_outlier_factor(vectors(spark, sf), NAMES, "vec_id", metric="cosine"), 6)
+
+
+@query("nearest_neighbors_manhattan", f"""WITH {_POINTS},
+l AS (SELECT id, i, v[i] AS x FROM p, range(1, 65) r(i)),
+dist AS (SELECT a.id AS a, b.id AS b, sum(abs(a.x - b.x)) AS d FROM l a JOIN l b ON a.i = b.i AND a.id <> b.id GROUP BY 1, 2)
+SELECT a AS place, b AS neighbor, round(d, 6) AS distance FROM dist
+QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5""")
+def _(spark, sf):
+    _, near = nearest_neighbors(vectors(spark, sf), NAMES, "vec_id", 5, metric="manhattan")
+    return rounded(near.select("place", "neighbor", "distance"), 6)
+
+
 @query("normalize_scores", f"""WITH {_POINTS}
 SELECT id AS vec_id, round((max(v[1]) OVER () - v[1]) / (max(v[1]) OVER () - min(v[1]) OVER ()), 6) AS anomaly_score FROM p""")
 def _(spark, sf):
@@ -186,6 +205,21 @@ def _(spark, sf):
     return D.dbscan(df, ["x", "y"], "s_suppkey", 2.5, 6)
 
 
+@query("dbscan_cosine", _dbscan_sql(
+    _POINTS, "SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_cosine_distance(a.v, b.v) <= 0.32", "vec_id", 4))
+def _(spark, sf):
+    return D.dbscan(vectors(spark, sf), NAMES, "vec_id", 0.32, 4, metric="cosine")
+
+
+@query("dbscan_plane_chebyshev", _dbscan_sql(
+    """p AS MATERIALIZED (SELECT s_suppkey AS id, s_acctbal / 500 AS x, s_nationkey::DOUBLE AS y FROM supplier)""",
+    "SELECT a.id AS a, b.id AS b FROM p a, p b WHERE greatest(abs(a.x - b.x), abs(a.y - b.y)) <= 1.5", "s_suppkey", 6))
+def _(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 500).alias("x"),
+                                             F.col("s_nationkey").cast("double").alias("y"))
+    return D.dbscan(df, ["x", "y"], "s_suppkey", 1.5, 6, metric="chebyshev")
+
+
 @query("dbscan_crowded", """
 SELECT count(*) AS rows, count(DISTINCT l_quantity) AS n_clusters, 0::BIGINT AS noise_count FROM lineitem""")
 def _(spark, sf):

@@ -149,11 +149,13 @@ def isolation_forest(df: DataFrame, features: list[str], key: str, contamination
 
 
 def local_outlier_factor(df: DataFrame, features: list[str], key: str, n_neighbors: int = 20,
-                         contamination: float = 0.05, block_rows: int | None = None) -> DataFrame:
+                         contamination: float = 0.05, block_rows: int | None = None,
+                         metric: str = "euclidean") -> DataFrame:
     """(key, raw_score, is_anomaly, anomaly_score); raw_score is minus the local outlier factor.
 
     Exact for any number of rows: neighbours come from a search over space blocks, and
-    rows at the same place are handled as one place with a number of copies.
+    rows at the same place are handled as one place with a number of copies. ``metric`` is
+    euclidean, manhattan, chebyshev or cosine.
     """
     rows = df.count()
     out_key = df.select(col(key))
@@ -161,7 +163,7 @@ def local_outlier_factor(df: DataFrame, features: list[str], key: str, n_neighbo
         return out_key.withColumns({"raw_score": F.lit(0.0), "is_anomaly": F.lit(False),
                                     "anomaly_score": F.lit(0.0)})
     k = min(n_neighbors, max(1, rows - 1))
-    places, near = nearest_neighbors(df, features, key, k, block_rows)
+    places, near = nearest_neighbors(df, features, key, k, block_rows, metric)
     reach = near.groupBy("place").agg(F.max("distance").alias("k_distance"))
     with_reach = near.join(reach.withColumnsRenamed({"place": "neighbor", "k_distance": "neighbor_reach"}),
                            "neighbor")

@@ -1,9 +1,14 @@
 """Density-based clustering (DBSCAN), exact, without listing all neighbour pairs.
 
-Space is cut into cells so small that all rows of a cell are within ``eps`` of each
+In a few Euclidean dimensions space is cut into cells so small that all rows of a cell are within ``eps`` of each
 other. A cell with enough rows is core as a whole, and a cell's core rows are always in
 one cluster, so crowded places cost one cell each however many rows they hold. Only rows
 of sparse cells are counted one by one, and clusters are components of a graph of cells.
+
+In many dimensions or another metric there are no such cells. There places are cut into
+bounded blocks by pivots, and a block meets the places within ``eps`` of its range. Tasks
+count neighbours, join core rows they see to local clusters, and give one link per row to
+its local cluster; clusters are components of these links. Rows leave a task, pairs never do.
 """
 
 from __future__ import annotations
@@ -13,15 +18,17 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import cut_lineage
+from .browse import OrderIndex
+from .metric_space import Blocks, metric_name, radius_of, with_slack, within
 from .neighbors import (BLOCK_ROWS, assign_blocks, block_boxes, box_gap, close_blocks, collapse,
                         distance, meet, pairwise)
 
 NOISE = -1
+GRID_WIDTH = 4                # a cell has few neighbour cells up to here
 CELL_CHUNK = 4096             # places of one cell that meet in one task
 
 
@@ -68,6 +75,12 @@ def _salted(members: DataFrame, sizes: DataFrame) -> DataFrame:
             .withColumn("chunk", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")).drop("chunks"))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """What tells two sets of edges apart."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected (a, b) edges; a component is named by its smallest node.
 
@@ -76,6 +89,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     current = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"),
                                                        F.least("a", "b").alias("b")).distinct())
+    mark = _mark(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -85,10 +99,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b")))
                  .where("a != b").distinct())
-        after = cut_lineage(small)
-        same = after.count() == current.count() and after.exceptAll(current).isEmpty()
-        current = after
-        if same:
+        current, before = cut_lineage(small), mark
+        mark = _mark(current)
+        if mark == before:
             break
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
@@ -150,17 +163,103 @@ def _linked_cells(core: DataFrame, near: DataFrame, eps: float, side: float) ->
     return facing.unionByName(rest).distinct()
 
 
+def _by_pivots(keys: DataFrame, places: DataFrame, key: str, radius: float, needed: int, metric: str,
+               block_rows: int) -> DataFrame:
+    """(key, cluster, is_core) in any metric; ``radius`` is the distance of points within reach."""
+    blocks = Blocks(places, metric, block_rows)
+    kind = dict(places.dtypes)["place"]
+    seekers = (blocks.placed.select("block", "place", "point", "at", F.lit(radius).alias("reach"))
+               .withColumn("reach", with_slack(F.col("reach"))))
+    visitors = cut_lineage(blocks.near(seekers).select("near_block", F.col("place").alias("visitor"), "point"))
+    members = blocks.placed.select("block", "place", "point", "copies")
+
+    def close(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        return within(np.stack(left["point"]), np.stack(right["near_point"]), radius, metric)
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["place", "n"])
+        return pd.DataFrame({"place": left["visitor"], "n": close(left, right) @ right["near_copies"].to_numpy()})
+
+    def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """One row (a, b) for each place of a local cluster, b its smallest place."""
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["a", "b"])
+        near = close(left, right)
+        seen_by, places_here = left["visitor"].to_numpy(), right["near_place"].to_numpy()
+        left_open, right_open = near.any(axis=1), np.ones(len(places_here), dtype=bool)
+        out = []
+        for start in range(len(places_here)):
+            if not right_open[start]:
+                continue
+            inside, grown = np.zeros(len(seen_by), dtype=bool), np.zeros(len(places_here), dtype=bool)
+            fresh = np.array([start])
+            while len(fresh):
+                right_open[fresh], grown[fresh] = False, True
+                reached = left_open & near[:, fresh].any(axis=1)
+                left_open &= ~reached
+                inside |= reached
+                fresh = np.flatnonzero(right_open & near[reached].any(axis=0))
+            names = np.concatenate([seen_by[inside], places_here[grown]])
+            if len(names) > 1:
+                out.append(pd.DataFrame({"a": names, "b": names.min()}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b"])
+
+    core = cut_lineage(meet(visitors, members, count, f"place {kind}, n long").groupBy("place")
+                       .agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("place"))
+    core_members = members.join(core, "place", "left_semi")
+    meeting = visitors.join(core.withColumnRenamed("place", "visitor"), "visitor", "left_semi")
+    links = meet(meeting, core_members, link, f"a {kind}, b {kind}")
+    joined = connected_components(links)
+    labelled = (core.join(joined.withColumnRenamed("node", "place"), "place", "left")
+                .select("place", F.coalesce("component", "place").alias("component")))
+    # a component is named by its smallest core place
+    labelled = cut_lineage(_numbered(labelled.withColumn("first_key", F.col("component"))))
+
+    def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["place", "cluster"])
+        labels = np.where(close(left, right), right["near_cluster"].to_numpy()[None, :], np.iinfo(np.int64).max)
+        best = labels.min(axis=1)
+        reached = best < np.iinfo(np.int64).max
+        return pd.DataFrame({"place": left["visitor"].to_numpy()[reached], "cluster": best[reached]})
+
+    loose = visitors.join(core.withColumnRenamed("place", "visitor"), "visitor", "left_anti")
+    border = (meet(loose, members.join(labelled, "place"), first, f"place {kind}, cluster long")
+              .groupBy("place").agg(F.min("cluster").alias("cluster")))
+    return _labels(keys, key, labelled, border)
+
+
+def _numbered(labelled: DataFrame) -> DataFrame:
+    """(place, cluster): components numbered by their smallest core key, over range partitions."""
+    first = labelled.groupBy("component").agg(F.min("first_key").alias("first_key"))
+    numbered = OrderIndex(first, "first_key").numbered("cluster")
+    return labelled.drop("first_key").join(numbered.select("component", "cluster"), "component").drop("component")
+
+
+def _labels(keys: DataFrame, key: str, labelled: DataFrame, border: DataFrame) -> DataFrame:
+    labels = (labelled.select("place", "cluster", F.lit(True).alias("is_core"))
+              .unionByName(border.select("place", "cluster", F.lit(False).alias("is_core"))))
+    return cut_lineage(keys.join(labels, "place", "left").select(
+        col(key), F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"),
+        F.coalesce("is_core", F.lit(False)).alias("is_core")))
+
+
 def dbscan(df: DataFrame, features: list[str], key: str, eps: float = 0.5, min_samples: int = 5,
-           block_rows: int = BLOCK_ROWS) -> DataFrame:
+           block_rows: int = BLOCK_ROWS, metric: str = "euclidean") -> DataFrame:
     """(key, cluster, is_core); cluster -1 is noise.
 
     ``min_samples`` counts the row itself. Clusters are numbered by their smallest core
-    key; a border row within reach of several clusters joins the first of them.
+    key; a border row within reach of several clusters joins the first of them. ``metric``
+    is euclidean, manhattan, chebyshev or cosine.
     """
+    metric = metric_name(metric)
     width = len(features)
     rows = df.count()
     needed = max(2, rows) if rows < min_samples else min_samples
-    keys, places = collapse(df, features, key)
+    keys, places = collapse(df, features, key, metric)
+    if metric != "euclidean" or width > GRID_WIDTH:
+        return _by_pivots(keys, places, key, radius_of(eps, metric), needed, metric, block_rows)
     located, side = _cells(places, eps, width)
     cells = cut_lineage(located.groupBy("cell").agg(
         F.min("place").alias("cell_id"), F.sum("copies").alias("rows"), F.count("*").alias("n")))
@@ -192,11 +291,8 @@ def dbscan(df: DataFrame, features: list[str], key: str, eps: float = 0.5, min_s
     cell_cluster = (core_cells.join(joined.withColumnRenamed("node", "cell_id"), "cell_id", "left")
                     .select("cell_id", F.coalesce("component", "cell_id").alias("component")))
     labelled = core.join(cell_cluster, "cell_id")
-    first = labelled.groupBy("component").agg(F.min("place").alias("first_key"))
-    # one row per cluster; the window numbers clusters, not rows
-    numbered = first.select("component", (F.row_number().over(W.orderBy("first_key")) - 1).alias("cluster"))
-    labelled = cut_lineage(labelled.join(numbered, "component")
-                           .select("place", "point", "cell_id", "cluster"))
+    labelled = cut_lineage(_numbered(labelled.select("place", "point", "cell_id", "component",
+                                                     F.col("place").alias("first_key"))))
 
     # border: other rows of sparse cells next to a core row
     loose = sparse.join(core.select("place"), "place", "left_anti")
@@ -208,12 +304,8 @@ def dbscan(df: DataFrame, features: list[str], key: str, eps: float = 0.5, min_s
                  .select(F.col("place").alias("seeker"), F.col("point").alias("at"),
                          F.col("b").alias("cell_id"), "chunk"))
     border = (reachable.join(core_dealt, ["cell_id", "chunk"]).where(in_reach)
-              .groupBy("seeker").agg(F.min("cluster").alias("cluster")))
-    labels = (labelled.select("place", "cluster", F.lit(True).alias("is_core"))
-              .unionByName(border.select(F.col("seeker").alias("place"), "cluster", F.lit(False).alias("is_core"))))
-    return cut_lineage(keys.join(labels, "place", "left").select(
-        col(key), F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"),
-        F.coalesce("is_core", F.lit(False)).alias("is_core")))
+              .groupBy(F.col("seeker").alias("place")).agg(F.min("cluster").alias("cluster")))
+    return _labels(keys, key, labelled, border)
 
 
 def noise_summary(labels: DataFrame) -> DataFrame:

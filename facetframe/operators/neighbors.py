@@ -1,11 +1,11 @@
 """Exact neighbour search over space blocks.
 
 Rows at the same place are collapsed to one place with a number of copies. Places are
-cut into blocks of bounded size by repeated quantile splits. A block is compared with
-another only when their bounding boxes are close enough, found by descending the split
-tree with equi-joins, so no step pairs everything with everything. Distances are taken
-inside a task between one bounded block and one bounded chunk of visitors; only the
-wanted neighbours leave the task.
+cut into blocks of bounded size, by pivots (``metric_space``) or by quantile splits of
+the coordinates. A block is compared with another only when their bounding boxes are
+close enough, found by descending the split tree with equi-joins, so no step pairs
+everything with everything. Distances are taken inside a task between one bounded block
+and one bounded chunk of visitors; only the wanted neighbours leave the task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import cut_lineage
+from .metric_space import Blocks, gaps, metric_name, pair_gaps, point_of, reported, rough_squares, with_slack
 
 BLOCK_ROWS = 512
 VISITORS = 2048               # visiting places compared with a block in one task
 FANOUT = 16
+MEASURED = 100_000            # pairs measured at a time
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -40,10 +42,10 @@ def box_gap(low: Column, high: Column, other_low: Column, other_high: Column) ->
     return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def collapse(df: DataFrame, features: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, features: list[str], key: str,
+             metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
     """(key, place) and (place, point, copies); a place is named by its smallest key."""
-    # adding 0.0 makes -0.0 and 0.0 the same place
-    rows = df.select(col(key), F.array(*[col(f).cast("double") + F.lit(0.0) for f in features]).alias("point"))
+    rows = df.select(col(key), point_of(features, metric).alias("point"))
     places = cut_lineage(rows.groupBy("point").agg(F.min(col(key)).alias("place"), F.count("*").alias("copies")))
     return rows.join(places.select("point", "place"), "point").select(col(key), "place"), places
 
@@ -146,72 +148,101 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _keep_nearest(visitor, points, reach, names, block, copies, k, itself):
+def _keep_nearest(visitor, points, reach, names, block, copies, k, itself, metric):
     """Rows (place, neighbor, distance, copies) until k copies are gathered per visitor."""
-    gaps = pairwise(points, block)
-    rows = []
-    for i in range(len(visitor)):
-        weights = copies.copy()
-        if itself:
-            weights[names == visitor[i]] -= 1             # a row is not its own neighbour
-        candidates = np.flatnonzero((weights > 0) & (gaps[i] <= reach[i]))
-        order = candidates[np.lexsort((names[candidates], gaps[i][candidates]))]
-        before = np.cumsum(weights[order]) - weights[order]
-        order = order[before < k]
-        rows.append(pd.DataFrame({"place": visitor[i], "neighbor": names[order],
-                                  "distance": gaps[i][order], "copies": weights[order]}))
-    return (pd.concat(rows) if rows else
-            pd.DataFrame(columns=["place", "neighbor", "distance", "copies"]))
-
-
-def nearest_neighbors(df: DataFrame, features: list[str], key: str, k: int,
-                      block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    # no visitor needs more than k places besides its own
+    last = min(k + (1 if itself else 0), len(names)) - 1
+    if metric in ("manhattan", "chebyshev"):
+        measured = gaps(points, block, metric)
+        border = np.minimum(np.partition(measured, last, axis=1)[:, last], reach)
+        i, j = np.nonzero(measured <= border[:, None])
+        far = measured[i, j]
+    else:
+        squares, error = rough_squares(points, block)
+        border = np.minimum(np.partition(squares, last, axis=1)[:, last], reach * reach)
+        i, j = np.nonzero(squares <= (border + 3.0 * error)[:, None])
+        far = np.concatenate([pair_gaps(points[i[s:s + MEASURED]], block[j[s:s + MEASURED]])
+                              for s in range(0, max(len(i), 1), MEASURED)])
+    weights = copies[j]
+    if itself:
+        weights = weights - (names[j] == visitor[i])      # a row is not its own neighbour
+    kept = (weights > 0) & (far <= reach[i])
+    i, j, far, weights = i[kept], j[kept], far[kept], weights[kept]
+    order = np.lexsort((names[j], far, i))
+    i, j, far, weights = i[order], j[order], far[order], weights[order]
+    before = np.cumsum(weights) - weights
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype=int)
+    before = before - np.repeat(before[first], np.diff(np.r_[first, len(i)]))
+    wanted = before < k
+    return pd.DataFrame({"place": visitor[i[wanted]], "neighbor": names[j[wanted]],
+                         "distance": far[wanted], "copies": weights[wanted]})
+
+
+def _found(blocks: Blocks) -> str:
+    kind = dict(blocks.placed.dtypes)["place"]
+    return f"place {kind}, neighbor {kind}, distance double, copies long"
+
+
+def _own(blocks: Blocks, k: int) -> DataFrame:
+    """The k nearest rows of each place in its own block."""
+    metric = blocks.metric
+
+    def within_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, names = np.stack(pdf["point"]), pdf["place"].to_numpy()
+        return _keep_nearest(names, points, np.full(len(pdf), np.inf), names, points,
+                             pdf["copies"].to_numpy(), k, True, metric)
+
+    return (blocks.placed.select("block", "place", "point", "copies").groupBy("block")
+            .applyInPandas(within_block, _found(blocks)))
+
+
+def _visits(blocks: Blocks, own: DataFrame, k: int) -> DataFrame:
+    """(near_block, visitor, point, reach): which places must see which other blocks.
+
+    A place needs nothing beyond its k-th neighbour in its own block, nor beyond a pivot's distance plus the
+    distance within which more than k rows lie around that pivot.
+    """
+    gathered = own.groupBy("place").agg(F.sum("copies").alias("n"), F.max("distance").alias("d"))
+    infinite = F.lit(float("inf"))
+    around = F.array_min(F.zip_with("at", F.array(*[F.lit(t) for t in blocks.enough(k)]), lambda a, t: a + t))
+    seekers = (blocks.placed.join(gathered, "place", "left")
+               .withColumn("reach", F.least(F.when(F.col("n") >= k, F.col("d")).otherwise(infinite), around))
+               .withColumn("reach", with_slack(F.col("reach"))))
+    return (blocks.near(seekers.select("block", "place", "point", "at", "reach"))
+            .where(F.col("block") != F.col("near_block"))
+            .select("near_block", F.col("place").alias("visitor"), "point", "reach"))
+
+
+def nearest_neighbors(df: DataFrame, features: list[str], key: str, k: int, block_rows: int | None = None,
+                      metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
     """((key, place), (place, neighbor, distance, copies)): the k nearest other rows.
 
     Neighbours are places; ``copies`` says how many of a place's rows are among the k.
-    Ties at the k-th distance go to the smaller key.
+    Ties at the k-th distance go to the smaller key. ``metric`` is euclidean, manhattan,
+    chebyshev or cosine.
     """
+    metric = metric_name(metric)
     block_rows = block_rows or max(BLOCK_ROWS, 4 * k)
-    keys, places = collapse(df, features, key)
-    placed, depth = assign_blocks(places, len(features), block_rows)
-    key_type = dict(placed.dtypes)["place"]
-    schema = f"place {key_type}, neighbor {key_type}, distance double, copies long"
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, names = np.stack(pdf["point"]), pdf["place"].to_numpy()
-        return _keep_nearest(names, points, np.full(len(pdf), np.inf), names, points,
-                             pdf["copies"].to_numpy(), k, True)
-
-    own = placed.groupBy("block").applyInPandas(within, schema)
+    keys, places = collapse(df, features, key, metric)
+    blocks = Blocks(places, metric, block_rows)
+    own = _own(blocks, k)
     near = own
-    if placed.select("block").distinct().limit(2).count() > 1:
+    if blocks.depth:
         own = cut_lineage(own)
-        gathered = own.groupBy("place").agg(F.sum("copies").alias("n"), F.max("distance").alias("d"))
-        radius = F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf")))
-        seekers = placed.join(gathered, "place", "left").withColumn(
-            "reach", F.coalesce(radius, F.lit(float("inf")))).drop("n", "d")
-        boxes = cut_lineage(block_boxes(placed))
-        widest = seekers.groupBy("block").agg(F.max("reach").alias("reach"))
-        pairs = close_blocks(boxes.join(widest, "block").select("block", "low", "high", "reach"), boxes, depth)
-        pairs = (pairs.where(F.col("block") != F.col("near_block"))
-                 .select("block", "near_block", "near_low", "near_high"))
-        visitors = (seekers.join(pairs, "block")
-                    .where(box_gap(F.col("point"), F.col("point"), F.col("near_low"), F.col("near_high"))
-                           <= F.col("reach"))
-                    .select("near_block", F.col("place").alias("visitor"), "point", "reach"))
+        visitors = cut_lineage(_visits(blocks, own, k))
 
         def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["place", "neighbor", "distance", "copies"])
             return _keep_nearest(left["visitor"].to_numpy(), np.stack(left["point"]),
                                  left["reach"].to_numpy(), right["near_place"].to_numpy(),
-                                 np.stack(right["near_point"]), right["near_copies"].to_numpy(), k, False)
+                                 np.stack(right["near_point"]), right["near_copies"].to_numpy(), k, False, metric)
 
-        near = own.unionByName(meet(visitors, placed.select("block", "place", "point", "copies"),
-                                    compare, schema))
+        near = own.unionByName(meet(visitors, blocks.placed.select("block", "place", "point", "copies"),
+                                    compare, _found(blocks)))
     order = W.partitionBy("place").orderBy("distance", "neighbor")
     before = F.coalesce(F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     best = (near.withColumn("before", before).where(F.col("before") < k)
-            .select("place", "neighbor", "distance",
+            .select("place", "neighbor", reported(F.col("distance"), metric).alias("distance"),
                     F.least("copies", F.lit(k) - F.col("before")).alias("copies")))
     return keys, cut_lineage(best)

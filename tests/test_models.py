@@ -9,14 +9,23 @@ from facetframe.operators import evaluate as E
 from facetframe.operators import neighbors as N
 from facetframe.operators import reduce as R
 from facetframe.plans.analyze import ModelConfig, analyze
+from facetframe.session import cut_lineage
 
 
 def frame(spark, x, names="abcdefgh"):
     return spark.createDataFrame(pd.DataFrame(x, columns=list(names[:x.shape[1]])).assign(id=np.arange(len(x))))
 
 
-def gaps(x):
-    return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+def gaps(x, metric="euclidean"):
+    apart = np.abs(x[:, None] - x[None])
+    if metric == "manhattan":
+        return apart.sum(-1)
+    if metric == "chebyshev":
+        return apart.max(-1)
+    if metric == "cosine":
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return 1 - unit @ unit.T
+    return np.sqrt((apart ** 2).sum(-1))
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +53,8 @@ def test_neighbors_match_brute_force(spark, copies, block_rows):
     assert got.loc[places.sort_index(), "d"].to_numpy() == pytest.approx(np.sort(d, axis=1)[:, 5])
 
 
-def lof(x, k):
-    d = gaps(x)
+def lof(x, k, metric="euclidean"):
+    d = gaps(x, metric)
     np.fill_diagonal(d, np.inf)
     order = np.argsort(d, axis=1, kind="stable")[:, :k]
     reach = np.take_along_axis(d, order, 1)[:, -1]
@@ -59,8 +68,50 @@ def test_local_outlier_factor_matches_brute_force(spark, outliers):
     assert got["is_anomaly"].any() and got["anomaly_score"].between(0, 1).all()
 
 
-def dbscan(x, eps, least):
-    near = gaps(x) <= eps
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev", "cosine"])
+def test_local_outlier_factor_in_other_metrics(spark, outliers, metric):
+    got = A.local_outlier_factor(frame(spark, outliers), list("abcd"), "id", 7, 0.1, 8, metric).toPandas().sort_values("id")
+    assert got["raw_score"].to_numpy() == pytest.approx(lof(outliers, 7, metric), rel=1e-6)
+
+
+def test_clustered_places_meet_few_others(spark):
+    # forty clusters in thirty dimensions: most pairs are excluded by the pivots
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 30))[rng.integers(0, 40, 1200)] + rng.normal(scale=0.03, size=(1200, 30))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, v array<double>")
+    df = df.select("id", *[df.v[i].alias(f"f{i}") for i in range(30)])
+    names = [f"f{i}" for i in range(30)]
+    _, places = N.collapse(df, names, "id")
+    blocks = N.Blocks(places, "euclidean", 32)
+    visits = N._visits(blocks, cut_lineage(N._own(blocks, 5)), 5)
+    sizes = blocks.placed.groupBy(blocks.placed.block.alias("near_block")).count()
+    pairs = visits.join(sizes, "near_block").agg({"count": "sum"}).first()[0]
+    assert pairs < 1200 * 1200 / 4
+    _, near = N.nearest_neighbors(df, names, "id", 5, 32)
+    d = gaps(x)
+    np.fill_diagonal(d, np.inf)
+    got = near.toPandas().groupby("place")["distance"].max()
+    assert got.to_numpy() == pytest.approx(np.sort(d, axis=1)[:, 4])
+
+
+def test_metric_space_edges(spark):
+    with pytest.raises(ValueError):
+        N.nearest_neighbors(frame(spark, np.zeros((3, 2))), ["a", "b"], "id", 1, metric="angle")
+    # rows without direction are alike and at distance 1 from all others
+    x = np.array([[0.0, 0.0], [0.0, -0.0], [2.0, 0.0], [1.0, 0.0], [0.0, 3.0]])
+    keys, near = N.nearest_neighbors(frame(spark, x), ["a", "b"], "id", 4, metric="cosine")
+    got = {(r.place, r.neighbor): (round(r.distance, 9), r.copies) for r in near.collect()}
+    assert got[(0, 0)] == (0.0, 1) and got[(0, 2)] == (1.0, 2) and got[(2, 4)] == (1.0, 1)
+    # fewer rows than neighbours, and none at all
+    _, few = N.nearest_neighbors(frame(spark, x[2:]), ["a", "b"], "id", 9)
+    assert few.agg({"copies": "sum"}).first()[0] == 6
+    assert N.nearest_neighbors(frame(spark, x).limit(0), ["a", "b"], "id", 2)[1].count() == 0
+    none = D.dbscan(frame(spark, x).limit(0), ["a", "b"], "id", metric="manhattan")
+    assert none.count() == 0
+
+
+def dbscan(x, eps, least, metric="euclidean"):
+    near = gaps(x, metric) <= eps
     core = near.sum(axis=1) >= least
     labels, cluster = np.full(len(x), -1), 0
     for i in np.flatnonzero(core):
@@ -85,6 +136,16 @@ def test_dbscan_matches_brute_force(spark, copies, eps, least, block_rows):
     assert (got["is_core"].to_numpy() == core).all()
 
 
+@pytest.mark.parametrize("metric, eps, least, block_rows, grid", [
+    ("euclidean", 0.7, 8, 20, 0), ("manhattan", 0.9, 6, 20, 4), ("chebyshev", 0.4, 5, 512, 4), ("cosine", 0.021, 4, 16, 4)])
+def test_dbscan_by_pivots_matches_brute_force(spark, copies, monkeypatch, metric, eps, least, block_rows, grid):
+    monkeypatch.setattr(D, "GRID_WIDTH", grid)
+    got = D.dbscan(frame(spark, copies), list("abc"), "id", eps, least, block_rows, metric).toPandas().sort_values("id")
+    labels, core = dbscan(copies, eps, least, metric)
+    assert (got["cluster"].to_numpy() == labels).all()
+    assert (got["is_core"].to_numpy() == core).all()
+
+
 def test_dbscan_splits_crowded_cells(spark, monkeypatch):
     # more places per cell than one task takes, and dense cells just out of reach of each other
     monkeypatch.setattr(D, "CELL_CHUNK", 8)
