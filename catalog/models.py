@@ -206,9 +206,9 @@ def _(spark, sf):
 
 
 @query("dbscan_cosine", _dbscan_sql(
-    _POINTS, "SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_cosine_distance(a.v, b.v) <= 0.32", "vec_id", 4))
+    _POINTS, "SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_cosine_distance(a.v, b.v) <= 0.66", "vec_id", 4))
 def _(spark, sf):
-    return D.dbscan(vectors(spark, sf), NAMES, "vec_id", 0.32, 4, metric="cosine")
+    return D.dbscan(vectors(spark, sf), NAMES, "vec_id", 0.66, 4, metric="cosine")
 
 
 @query("dbscan_plane_chebyshev", _dbscan_sql(

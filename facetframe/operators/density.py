@@ -30,6 +30,7 @@ from .neighbors import (BLOCK_ROWS, assign_blocks, block_boxes, box_gap, close_b
 NOISE = -1
 GRID_WIDTH = 4                # a cell has few neighbour cells up to here
 CELL_CHUNK = 4096             # places of one cell that meet in one task
+BUNDLE_ROWS = 20_000          # about as many places of many small pairs of cells in one group
 
 
 def _cells(places: DataFrame, eps: float, width: int) -> DataFrame:
@@ -136,9 +137,15 @@ def _linked_cells(core: DataFrame, near: DataFrame, eps: float, side: float) ->
     open_pairs = (open_pairs
                   .withColumn("chunk_a", F.explode(F.sequence(F.lit(0), chunks("n_a") - 1)))
                   .withColumn("chunk_b", F.explode(F.sequence(F.lit(0), chunks("n_b") - 1)))
-                  .select("a", "b", "chunk_a", "chunk_b"))
+                  .select("a", "b", "chunk_a", "chunk_b", "n_a", "n_b"))
+    open_pairs = cut_lineage(open_pairs)
     sizes = cells.select("cell_id", F.ceil(F.col("n") / F.lit(float(CELL_CHUNK))).cast("int").alias("chunks"))
     dealt = _salted(core.select("cell_id", "place", "point"), sizes)
+    # pairs meet in bundles, since most are small and a group each would cost more than its distances
+    load = open_pairs.agg(F.sum(F.least(F.col("n_a"), F.lit(CELL_CHUNK)) + F.least(F.col("n_b"), F.lit(CELL_CHUNK)))).first()[0]
+    bundles = max(1, math.ceil((load or 0) / BUNDLE_ROWS))
+    open_pairs = open_pairs.drop("n_a", "n_b").withColumn(
+        "bundle", F.pmod(F.xxhash64("a", "b", "chunk_a", "chunk_b"), F.lit(bundles)))
     sides = []
     for mine in ("a", "b"):
         members = dealt.select(F.col("cell_id").alias(mine), F.col("chunk").alias(f"chunk_{mine}"), "point")
@@ -152,13 +159,15 @@ def _linked_cells(core: DataFrame, near: DataFrame, eps: float, side: float) ->
         if left.empty or right.empty:
             return pd.DataFrame(columns=["a", "b"])
         p, q = np.stack(left["point_of_a"]), np.stack(right["point_of_b"])
-        for i in range(0, len(p), 512):
-            if (pairwise(p[i:i + 512], q) <= eps).any():
-                return left[["a_of_a", "b_of_a"]].head(1).set_axis(["a", "b"], axis=1)
-        return pd.DataFrame(columns=["a", "b"])
+        theirs = right.groupby([f"{g}_of_b" for g in group], sort=False).indices
+        out = []
+        for pair, mine in left.groupby([f"{g}_of_a" for g in group], sort=False).indices.items():
+            other = q[theirs[pair]]
+            if any((pairwise(p[mine[i:i + 512]], other) <= eps).any() for i in range(0, len(mine), 512)):
+                out.append(pair[:2])
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    rest = (sides[0].groupBy(*[f"{g}_of_a" for g in group])
-            .cogroup(sides[1].groupBy(*[f"{g}_of_b" for g in group]))
+    rest = (sides[0].groupBy("bundle_of_a").cogroup(sides[1].groupBy("bundle_of_b"))
             .applyInPandas(any_close, f"a {key}, b {key}"))
     return facing.unionByName(rest).distinct()
 
