@@ -47,6 +47,7 @@ def kmeans(df: DataFrame, features: list[str], n_clusters: int = 3, random_state
     rows = vectors.count()
     k = max(1, min(n_clusters, rows))
     if k < 2:
+        vectors.unpersist()
         centre = [[r for r in df.agg(*[F.avg(col(f)) for f in features]).first()]]
         return KMeansResult(df.withColumn("cluster", F.lit(0)), k, 0.0 if rows < 2 else _inertia(df, features, centre[0]), centre)
 
@@ -59,11 +60,13 @@ def kmeans(df: DataFrame, features: list[str], n_clusters: int = 3, random_state
     best = min(models, key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes
     centres = [list(c) for c in best.clusterCenters()]
+    inertia = float(best.summary.trainingCost)
+    vectors.unpersist()                                   # the labels assemble their vectors anew
     order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
     rank = F.array(*[F.lit(order.index(i)) for i in range(len(centres))])
     labels = (best.setPredictionCol("_raw").transform(vectors)
               .withColumn("cluster", rank[F.col("_raw")]).drop("_raw", "features"))
-    return KMeansResult(labels, len(centres), float(best.summary.trainingCost), [centres[i] for i in order])
+    return KMeansResult(labels, len(centres), inertia, [centres[i] for i in order])
 
 
 def _inertia(df: DataFrame, features: list[str], centre: list[float]) -> float:

@@ -25,6 +25,7 @@ class ModelConfig:
     n_clusters: int | None = 3               # None: chosen by silhouette
     eps: float = 0.5
     min_samples: int = 5
+    metric: str = "euclidean"                # of local_outlier_factor and dbscan
     n_init: int = 10
     n_components: int = 2
     scaling: str | None = "standard"
@@ -49,7 +50,8 @@ def analyze_models(df: DataFrame, key: str, config: ModelConfig | None = None,
                                            config.n_estimators, config.random_state)
         contribution = anomaly.anomaly_contribution(flagged, names)
     else:
-        flagged = anomaly.local_outlier_factor(ready, names, key, config.n_neighbors, config.contamination)
+        flagged = anomaly.local_outlier_factor(ready, names, key, config.n_neighbors, config.contamination,
+                                               metric=config.metric)
         contribution = None
     choice, inertia = None, None
     if config.clustering == "kmeans":
@@ -60,7 +62,8 @@ def analyze_models(df: DataFrame, key: str, config: ModelConfig | None = None,
         fitted = cluster.kmeans(ready, names, k, config.random_state, config.n_init)
         labels, inertia = fitted.labels, fitted.inertia
     else:
-        labels = ready.join(density.dbscan(ready, names, key, config.eps, config.min_samples), key)
+        labels = ready.join(density.dbscan(ready, names, key, config.eps, config.min_samples,
+                                           metric=config.metric), key)
     silhouette = cluster.silhouette(labels, names, key)
     sizes = pin(cluster.cluster_sizes(labels))
     separation = pin(cluster.distinguishing_features(labels, names))

@@ -231,7 +231,7 @@ def test_undefined_metrics_carry_a_reason(spark):
 
 
 @pytest.mark.parametrize("config", [
-    ModelConfig(n_estimators=20, n_init=2), ModelConfig(anomaly="local_outlier_factor", clustering="dbscan", eps=3.0)])
+    ModelConfig(n_estimators=20, n_init=2), ModelConfig(anomaly="local_outlier_factor", clustering="dbscan", eps=3.0, metric="manhattan")])
 def test_whole_cascade(spark, plots, config):
     keyed = plots.dropDuplicates().rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
     df = spark.createDataFrame(keyed, "plot_id string, kind string, age int, annual_rent double, place string, "
