@@ -156,6 +156,17 @@ def _(spark, sf):
     return C.elbow(C.auto_k(vectors(spark, sf), NAMES, max_k=6, n_init=2, metric="squared_euclidean"))
 
 
+@query("elbow_of_orders", """
+WITH t AS (SELECT l_linenumber AS k, round(sum(l_extendedprice), 2) AS inertia FROM lineitem GROUP BY 1),
+b AS (SELECT k, inertia, (lag(inertia) OVER w - inertia) - (inertia - lead(inertia) OVER w) AS bend FROM t WINDOW w AS (ORDER BY k))
+SELECT k, round(inertia, 2) AS inertia, round(bend, 2) AS bend FROM b WHERE bend IS NOT NULL ORDER BY b.bend DESC, k LIMIT 1""")
+def _(spark, sf):
+    # money by line number falls like an inertia: fewer orders have more lines
+    falling = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("inertia"))
+    return rounded(C.elbow(falling), 2)
+
+
 _SILHOUETTE = """
 t AS (SELECT d.a, pa.label AS own, pb.label AS other, sum({gap}) AS total FROM dist d
   JOIN p pa ON pa.id = d.a JOIN p pb ON pb.id = d.b GROUP BY ALL),
